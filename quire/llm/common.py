@@ -36,6 +36,11 @@ def with_rid(df: DataFrame, name: str = "rid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def rows_of(docs: DataFrame, *columns: str) -> DataFrame:
+    """(rid, doc_id as long, the named columns) of a stored table."""
+    return with_rid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns)).select("rid", "doc_id", *columns)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(col, ASCII_UPPER, ASCII_UPPER.lower())

@@ -13,6 +13,7 @@ _OPERATORS = {
     "op5_mixing": ("mixing", "mix", "documents"),
     "op6_license_scan": ("licenses", "scan", "documents"),
     "op8_pii": ("pii", "digest", "documents"),
+    "op10_bpe": ("bpe", "digest", "documents"),
 }
 
 
