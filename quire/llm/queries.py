@@ -10,9 +10,11 @@ from quire.llm.common import table
 
 #: Query name -> (module, function of its table, name of the table).
 _OPERATORS = {
+    "op2_exact_dedup": ("exact_dedup", "dedup", "documents"),
     "op5_mixing": ("mixing", "mix", "documents"),
     "op6_license_scan": ("licenses", "scan", "documents"),
     "op8_pii": ("pii", "digest", "documents"),
+    "op9_topk": ("topk", "topk", "embeddings"),
     "op10_bpe": ("bpe", "digest", "documents"),
 }
 
@@ -30,6 +32,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from quire.llm import mixing
+    from quire.llm import exact_dedup, mixing, topk
 
-    return {"op5_mixing": mixing.SQL}
+    return {"op2_exact_dedup": exact_dedup.SQL, "op5_mixing": mixing.SQL, "op9_topk": topk.SQL}
