@@ -10,6 +10,7 @@ from quire.llm.common import table
 
 #: Query name -> (module, function of its table, name of the table).
 _OPERATORS = {
+    "op1_suffix_dedup": ("suffix_dedup", "digest", "documents"),
     "op2_exact_dedup": ("exact_dedup", "dedup", "documents"),
     "op5_mixing": ("mixing", "mix", "documents"),
     "op6_license_scan": ("licenses", "scan", "documents"),
