@@ -12,6 +12,7 @@ from quire.llm.common import table
 _OPERATORS = {
     "op1_suffix_dedup": ("suffix_dedup", "digest", "documents"),
     "op2_exact_dedup": ("exact_dedup", "dedup", "documents"),
+    "op3_near_dedup": ("near_dedup", "digest", "documents"),
     "op5_mixing": ("mixing", "mix", "documents"),
     "op6_license_scan": ("licenses", "scan", "documents"),
     "op8_pii": ("pii", "digest", "documents"),
