@@ -107,12 +107,17 @@ def evidence(p: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def label_tokens(texts: list[list[str]], toxic: np.ndarray) -> set[str]:
-    """The features whose tokens are toxic in a toxic document: over 12 times as common there, and in 4 of them."""
+    """The features whose tokens are toxic in a toxic document.
+
+    They are over 12 times as common in toxic documents, and in so many of them that
+    chance alone, at the share of toxic documents, would do that once in 10,000 times.
+    """
     counts = (Counter(), Counter())
     for words, y in zip(texts, toxic, strict=True):
         counts[int(y)].update({f for w in set(words) for f in _parts(w) if f[0] != "e" and (f[0] == "w" or f[0] > "3")})
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    return {f for f, c in counts[1].items() if c >= 4 and (c + 0.1) / n1 > 12 * (counts[0][f] + 0.1) / n0}
+    least = max(3.0, np.log(1e-4) / np.log(n1 / (n1 + n0)))
+    return {f for f, c in counts[1].items() if c >= least and (c + 0.1) / n1 > 12 * (counts[0][f] + 0.1) / n0}
 
 
 def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60) -> Model:
