@@ -29,8 +29,14 @@ def _query(module: str, function: str, name: str):
     return run
 
 
+def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import toxicity
+
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {name: _query(*spec) for name, spec in _OPERATORS.items()}
+    return {name: _query(*spec) for name, spec in _OPERATORS.items()} | {"op7_toxicity": _toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
