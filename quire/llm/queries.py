@@ -13,6 +13,7 @@ _OPERATORS = {
     "op1_suffix_dedup": ("suffix_dedup", "digest", "documents"),
     "op2_exact_dedup": ("exact_dedup", "dedup", "documents"),
     "op3_near_dedup": ("near_dedup", "digest", "documents"),
+    "op4_html_extract": ("html_extract", "extract", "pages"),
     "op5_mixing": ("mixing", "mix", "documents"),
     "op6_license_scan": ("licenses", "scan", "documents"),
     "op8_pii": ("pii", "digest", "documents"),
