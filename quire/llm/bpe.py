@@ -3,15 +3,16 @@
 1. Texts are split into the tokenizer's pre-tokens ("words") in chunks of whole
    documents. A chunk keeps a vocabulary of its own, most frequent word first, and
    each document becomes the positions' vocabulary numbers, packed.
-2. The vocabularies meet by word: every distinct word of the corpus is one row, is
-   encoded once, and gets its decoded text from a join with the id-to-piece table.
-3. The encoded words go back to the chunks that asked for them, and every chunk puts
-   its documents together by position.
-
-A word is at most once in a chunk's vocabulary, so the commonest word has as many
-rows in step 2 as there are chunks, and no more. A chunk is closed at CHUNK_CHARS
-characters, so a task holds one chunk however large the corpus is; only a longer
-document makes a larger chunk.
+2. The chunks' vocabularies are dealt by word: all places that ask for a word meet in
+   one task, whose table of distinct words encodes it once.
+3. The ids go back to the chunks that asked for them; every chunk joins them to its
+   documents by position, and ids to pieces through the id-to-piece table, which is
+   broadcast (it has as many rows as the vocabulary).
+
+A word is at most once in a chunk's vocabulary, so the commonest word comes to its task
+as often as there are chunks, and no more. A chunk is closed at CHUNK_CHARS characters,
+so a task holds one chunk however large the corpus is; only a longer document makes a
+larger chunk. A chunk's words for one task travel as one row.
 """
 
 from __future__ import annotations
@@ -19,25 +20,26 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialise, rows_of
+from quire.llm.common import partitions, rows_of
 
 CHUNK_CHARS = 24_000_000
 #: Fixed values of the vocabulary: its special tokens and its pre-token pattern.
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
-_SPECIAL = regex.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
-_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-#: Outside of these characters the library itself splits the text: here its classes
-#: are Python's, texts are in NFC, and lower case needs no context.
-_UNUSUAL = regex.compile(r"[^\t\n\r\x20-\x7e\xa1-įı-ſ]")
+_SPECIAL = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
+_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: Outside of these characters the library itself splits the text: here Python's
+#: classes are its own, texts are in NFC, and lower case needs no context.
+_UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u017f]")
 
 
 def default_path() -> str:
@@ -46,11 +48,17 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def load(path: str):
+def read(path: str) -> str:
+    """The tokenizer's own JSON; what tasks get is this, not the path."""
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
+def load(text: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
+    tok = Tokenizer.from_str(text)
     tok.no_truncation()
     tok.no_padding()
     return tok
@@ -59,16 +67,16 @@ def load(path: str):
 class Splitter:
     """Text to words, as the tokenizer's normaliser and pre-tokenizer split it."""
 
-    def __init__(self, path: str):
-        self.path, self.tok = path, None
+    def __init__(self, text: str):
+        self.text, self.tok = text, None
 
     def _by_library(self, text: str) -> list[str]:
         if self.tok is None:
             from tokenizers.pre_tokenizers import Split  # the pattern alone: byte-level letters come with encoding
             from tokenizers import Regex
 
-            self.tok = load(self.path)
-            pattern = json.loads(self.tok.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+            self.tok = load(self.text)
+            pattern = json.loads(self.text)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
             self.split = Split(Regex(pattern), "removed", invert=True)
         return [w for w, _ in self.split.pre_tokenize_str(self.tok.normalizer.normalize_str(text))]
 
@@ -103,50 +111,56 @@ def unpack(data: bytes) -> np.ndarray:
     return out
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[int, dict, list]]:
-    """(chunk id, word -> (number, count), [(rid, doc_id, numbers)]); the same for each run over a partition."""
-    split = Splitter(path)
-    words: dict[str, int] = {}
+def _chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[int, dict, list]]:
+    """(chunk id, word -> number, [(rid, doc_id, numbers)]); the same for each run over a partition."""
+    split = Splitter(text)
+    words: defaultdict = defaultdict()
+    words.default_factory = words.__len__
     docs: list[tuple[int, int | None, np.ndarray]] = []
     chars = 0
     for b in batches:
-        for rid, doc_id, text in zip(*(b.column(c).to_pylist() for c in ("rid", "doc_id", "text")), strict=True):
-            found = split(text or "")
-            setdefault = words.setdefault
-            docs.append((rid, doc_id, np.fromiter((setdefault(w, len(words)) for w in found), np.int32, len(found))))
-            chars += len(text or "") + 64
+        for rid, doc_id, t in zip(*(b.column(c).to_pylist() for c in ("rid", "doc_id", "text")), strict=True):
+            found = split(t or "")
+            docs.append((rid, doc_id, np.fromiter(map(words.__getitem__, found), np.int32, len(found))))
+            chars += len(t or "") + 64
             if chars >= CHUNK_CHARS:
                 yield docs[0][0], words, docs
-                words, docs, chars = {}, [], 0
+                words, docs, chars = defaultdict(), [], 0
+                words.default_factory = words.__len__
     if docs:
         yield docs[0][0], words, docs
 
 
 def _ranks(words: dict, docs: list) -> np.ndarray:
     """Number -> place by count, ties by first appearance."""
-    counts = np.zeros(len(words), np.int64)
-    for _, _, a in docs:
-        counts += np.bincount(a, minlength=len(words))
+    counts = np.bincount(np.concatenate([np.zeros(0, np.int32), *(a for _, _, a in docs)]), minlength=len(words))
     order = np.argsort(-counts, kind="stable")
     out = np.empty(len(words), np.int64)
     out[order] = np.arange(len(words))
     return out
 
 
-def _vocabularies(path: str):
+def _vocabularies(sent, tasks: int):
     def run(batches):
-        for chunk, words, docs in _chunks(batches, path):
+        for chunk, words, docs in _chunks(batches, sent.value):
             rank = _ranks(words, docs)
-            for lo in range(0, len(words), 50_000):
-                part = list(words)[lo : lo + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.array(rank[lo : lo + len(part)].astype(np.int32)), pa.array(part, pa.string())], names=["chunk", "number", "word"])
+            task = np.fromiter((zlib.crc32(w.encode()) % tasks for w in words), np.int64, len(words))
+            order = np.argsort(task, kind="stable")
+            ends = np.append(np.flatnonzero(np.diff(task[order])) + 1, len(order)) if len(order) else []
+            all_words, rows, lo = list(words), [], 0
+            for hi in ends:
+                at = order[lo:hi]
+                rows.append((chunk, int(task[at[0]]), "\n".join([all_words[k] for k in at]), pack(rank[at])))
+                lo = hi
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.binary()), strict=True)], names=["chunk", "task", "words", "numbers"])
 
     return run
 
 
-def _numbers(path: str):
+def _numbers(sent):
     def run(batches):
-        for chunk, words, docs in _chunks(batches, path):
+        for chunk, words, docs in _chunks(batches, sent.value):
             rank = _ranks(words, docs)
             for lo in range(0, len(docs), 2000):
                 part = docs[lo : lo + 2000]
@@ -155,76 +169,82 @@ def _numbers(path: str):
     return run
 
 
-def _encode(path: str):
-    """Distinct words -> (word, ids)."""
+class WordTable:
+    """Distinct words and their ids; each is encoded when it first comes."""
 
-    def run(batches):
-        tok = load(path)
-        special = {"\0" + s: [tok.token_to_id(s)] for s in SPECIAL}
-        for b in batches:
-            words = b.column("word").to_pylist()
-            ids = [special.get(w) or e.ids for w, e in zip(words, tok.encode_batch(words, add_special_tokens=False), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+    def __init__(self, text: str):
+        self.tok = load(text)
+        self.ids: dict[str, list[int]] = {"\0" + s: [self.tok.token_to_id(s)] for s in SPECIAL}
+
+    def __call__(self, words: list[str]) -> list[list[int]]:
+        new = [w for w in dict.fromkeys(words) if w not in self.ids]
+        for lo in range(0, len(new), 20_000):
+            part = new[lo : lo + 20_000]
+            self.ids.update(zip(part, (e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        return [self.ids[w] for w in words]
 
-    return run
 
+def _encode(sent):
+    """A task's share of the vocabularies -> for each chunk numbers, ids a word and ids."""
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word) -> word, ids: each distinct word is encoded once."""
-    return words.select("word").distinct().mapInArrow(_encode(path), "word string, ids array<int>")
+    def run(batches):
+        table = WordTable(sent.value)
+        for b in batches:
+            counts, ids = [], []
+            for words in b.column("words").to_pylist():
+                found = table(words.split("\n"))
+                counts.append(np.fromiter(map(len, found), "<u4", len(found)).tobytes())
+                ids.append(np.array([i for x in found for i in x], "<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("chunk"), b.column("numbers"), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())], names=["chunk", "numbers", "counts", "ids"])
 
+    return run
 
-def pieces(spark, path: str) -> DataFrame:
-    """The id-to-piece table: as many rows as the vocabulary has entries."""
-    tok = load(path)
-    vocab = tok.get_vocab(with_added_tokens=True)
-    return spark.createDataFrame([(i, p) for p, i in sorted(vocab.items(), key=lambda x: x[1])], "id int, piece string")
 
+def piece_table(text: str) -> list[str]:
+    """The id-to-piece table, by id."""
+    vocab = load(text).get_vocab(with_added_tokens=True)
+    out = [""] * (max(vocab.values()) + 1)
+    for piece, i in vocab.items():
+        out[i] = piece
+    return out
 
-def decode_words(encoded: DataFrame, path: str) -> DataFrame:
-    """(word, ids) -> word, ids, decoded: the pieces of a word joined by spaces, as the library joins tokens."""
-    at = encoded.select("word", "ids", F.posexplode("ids").alias("pos", "id"))
-    table = F.broadcast(pieces(encoded.sparkSession, path))  # bounded by the vocabulary
-    got = at.join(table, "id").groupBy("word").agg(F.first("ids").alias("ids"), F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("at"))
-    return got.select("word", "ids", F.array_join(F.transform("at", lambda x: x["piece"]), " ").alias("decoded"))
 
+def _assemble(sent_pieces, whole: bool):
+    names = ["rid", "doc_id", "n_tokens", *(("ids", "decoded") if whole else ("ids_sha256", "decoded_sha256"))]
 
-def _assemble(with_ids: bool):
-    def run(docs: Iterator[pa.RecordBatch] | pa.Table, words: pa.Table) -> pa.Table:
-        number = words.column("number").to_numpy()
+    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        pieces = sent_pieces.value
+        decimal = list(map(str, range(len(pieces))))
+        read = lambda c, of: np.concatenate([np.zeros(0, np.int64), *(of(x) for x in words.column(c).to_pylist())]).astype(np.int64)
+        number, count, flat = read("numbers", unpack), read("counts", lambda x: np.frombuffer(x, "<u4")), read("ids", lambda x: np.frombuffer(x, "<u4"))
         order = np.argsort(number)
-        lists = words.column("ids").combine_chunks()
-        starts = lists.offsets.to_numpy()
-        flat = list(map(str, lists.values.to_pylist()))
-        ids = np.array([" ".join(flat[starts[k] : starts[k + 1]]) for k in order], object)
-        sizes = np.diff(starts)[order]
-        decoded = np.array(words.column("decoded").to_pylist(), object)[order]
+        begin, count = (np.cumsum(count) - count)[order], count[order]
         out: list[tuple] = []
         for data in docs.column("numbers").to_pylist():
             a = unpack(data)
-            ids_text, decoded_text = " ".join(ids[a].tolist()), " ".join(decoded[a].tolist())
-            n = int(sizes[a].sum())
-            out.append((n, ids_text, decoded_text) if with_ids else (n, hashlib.sha256(ids_text.encode()).hexdigest(), hashlib.sha256(decoded_text.encode()).hexdigest()))
+            c = count[a]
+            ids = flat[np.repeat(begin[a] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))].tolist()
+            decoded = " ".join(map(pieces.__getitem__, ids))
+            if whole:
+                out.append((len(ids), ids, decoded))
+            else:
+                out.append((len(ids), hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
         cols = [[x[k] for x in out] for k in range(3)]
-        names = ["rid", "doc_id", "n_tokens", "ids", "decoded"]
-        arrays = [docs.column("rid"), docs.column("doc_id"), pa.array(cols[0], pa.int64())]
-        if with_ids:
-            lists = pa.array([[int(i) for i in x.split()] for x in cols[1]], pa.list_(pa.int32()))
-            return pa.Table.from_arrays([*arrays, lists, pa.array(cols[2], pa.string())], names=names)
-        return pa.Table.from_arrays([*arrays, pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=[*names[:3], "ids_sha256", "decoded_sha256"])
+        kinds = (pa.int64(), pa.list_(pa.int32()) if whole else pa.string(), pa.string())
+        return pa.Table.from_arrays([docs.column("rid"), docs.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=names)
 
     return run
 
 
-def _run(docs: DataFrame, path: str | None, with_ids: bool, schema: str) -> DataFrame:
-    path = path or default_path()
-    rows = rows_of(docs, "text")
-    vocab = materialise(rows.mapInArrow(_vocabularies(path), "chunk long, number int, word string"), "bpe-words")
-    table = decode_words(encode_words(vocab, path), path)
-    encoded = vocab.join(table, "word").select("chunk", "number", "ids", "decoded")
-    numbers = rows.mapInArrow(_numbers(path), "chunk long, rid long, doc_id long, numbers binary")
-    # an empty document has no word; a chunk of nothing else still is a group of the left side
-    return numbers.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(_assemble(with_ids), schema)
+def _run(docs: DataFrame, path: str | None, whole: bool, schema: str) -> DataFrame:
+    spark = docs.sparkSession
+    text = read(path or default_path())
+    sent, pieces = spark.sparkContext.broadcast(text), spark.sparkContext.broadcast(piece_table(text))
+    rows, tasks = rows_of(docs, "text"), partitions(spark)
+    vocab = rows.mapInArrow(_vocabularies(sent, tasks), "chunk long, task int, words string, numbers binary")
+    encoded = vocab.repartition(tasks, "task").mapInArrow(_encode(sent), "chunk long, numbers binary, counts binary, ids binary")
+    numbers = rows.mapInArrow(_numbers(sent), "chunk long, rid long, doc_id long, numbers binary")
+    return numbers.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(_assemble(pieces, whole), schema)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -238,6 +258,18 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     return _run(docs, path, True, "rid long, doc_id long, n_tokens long, ids array<int>, decoded string")
 
 
+def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
+    """(rid, ids) -> rid, decoded: every id is joined to its piece, pieces are put together by position.
+
+    Ids that are null or not in the vocabulary have no piece; null and empty lists decode to ''.
+    """
+    spark = rows.sparkSession
+    table = spark.createDataFrame(list(enumerate(piece_table(read(path or default_path())))), "id int, piece string")
+    at = rows.select("rid", F.posexplode_outer("ids").alias("pos", "id")).join(F.broadcast(table), "id", "left")  # bounded by the vocabulary
+    got = at.groupBy("rid").agg(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("pos", "piece")))).alias("at"))
+    return got.select("rid", F.array_join(F.transform("at", lambda x: x["piece"]), " ").alias("decoded"))
+
+
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     """As encode(), with the sha256 of the ids (decimal, joined by a space) and of the decoded text."""
     return _run(docs, path, False, "rid long, doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
