@@ -153,14 +153,14 @@ def drop_orphan_media(docs: DataFrame) -> DataFrame:
     """Removes short pictures without headings that follow a removed gallery in an unbroken chain, before any real work.
 
     Takes (book, doc_index, kind, remove, rule, n_chars, n_headings, images). A candidate
-    goes if the last row before it that is no candidate is a removed gallery and no kept
+    goes if the last row before it that is no candidate or a gallery is a removed gallery and no kept
     work came yet.
     """
     real = ~F.col("remove") & (F.col("kind") == "major_work")
     candidate = ~real & (F.col("doc_index") <= 25) & (F.col("images") > 0) & (F.col("n_headings") == 0) & (F.col("n_chars") < 350)
     gallery = F.coalesce(F.col("remove") & (F.col("rule") == "gallery"), F.lit(False))
     seen = F.coalesce(F.max(real.cast("int")).over(_so_far()), F.lit(0)) == 1
-    after = F.coalesce(F.last(F.when(~candidate, gallery), ignorenulls=True).over(_so_far()), F.lit(False))
+    after = F.coalesce(F.last(F.when(~candidate | gallery, gallery), ignorenulls=True).over(_so_far()), F.lit(False))
     out = docs.withColumn("orphan", candidate & after & ~seen)
     return out.withColumn("kind", F.when(F.col("orphan"), "promo").otherwise(F.col("kind"))).withColumn("remove", F.col("remove") | F.col("orphan"))
 

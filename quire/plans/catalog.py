@@ -226,7 +226,7 @@ def q_demote_frontmatter(spark, d):
 
 @query(f"""with a as (select *, not remove and kind = 'major_work' as real, remove and coalesce(rule = 'gallery', false) as gallery from {DUCK_TURNS}),
 b as (select *, not real and doc_index <= 25 and images > 0 and n_headings = 0 and n_chars < 350 as candidate from a),
-e as (select *, candidate and coalesce(last_value(case when not candidate then gallery end ignore nulls) over {SO_FAR}, false) and coalesce(max(real::int) over {SO_FAR}, 0) = 0 as orphan from b)
+e as (select *, candidate and coalesce(last_value(case when not candidate or gallery then gallery end ignore nulls) over {SO_FAR}, false) and coalesce(max(real::int) over {SO_FAR}, 0) = 0 as orphan from b)
 select book, doc_index, case when orphan then 'promo' else kind end as kind, remove or orphan as remove, orphan from e""")
 def q_orphan_media(spark, d):
     return spine.drop_orphan_media(tables.turns(spark, d)).select("book", "doc_index", "kind", "remove", "orphan")

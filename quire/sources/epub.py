@@ -115,7 +115,7 @@ def metadata(spark: SparkSession, path: str, pattern: str = "*.epub") -> DataFra
 
 def pages(spine_rows: DataFrame) -> DataFrame:
     """Spine rows as the pages (page_id, url, html) of the probe, numbered within a book."""
-    return spine_rows.select("path", F.col("doc_index").alias("page_id"), F.col("name").alias("url"), F.decode("content", F.lit("UTF-8")).alias("html"))
+    return spine_rows.select("path", F.col("doc_index").alias("page_id"), F.col("name").alias("url"), F.decode("content", "UTF-8").alias("html"))
 
 
 def safe_name(filename: str) -> str:
