@@ -141,7 +141,8 @@ def dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     last one of the table), so just one of each group. An empty table gives no rows.
     """
     ids = identities(docs, block)
-    groups = ids.groupBy("n_blocks", "name").agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count("*").alias("group_size"))
+    # a table of its own, so that adaptive execution can split a large group's side of the join
+    groups = materialise(ids.groupBy("n_blocks", "name").agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count("*").alias("group_size")), "groups")
     out = ids.join(groups, ["n_blocks", "name"])
     return out.select("rid", "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
