@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import patterns, text
 from quire.operators import blocks, compose, headings, identity, quality, spine, toc
-from quire.plans import dag, duck, jobs, settings, tables
+from quire.plans import build, dag, duck, jobs, settings, tables
 from quire.plans.tables import DUCK_LAID_OUT, DUCK_LINES, DUCK_LOG, DUCK_TURNS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -570,6 +570,21 @@ def q_heading_fold(spark, d):
     return headings.fold(rows.select("book", "doc_index", F.lit(0).cast("long").alias("block_no"), F.expr("cast(nullif(substring(tag, 2, 1), '') as long)").alias("level"), c("heading").alias("text"), F.lit(None).cast("string").alias("id"), "kind", "major_title", c("current_division").alias("division"), F.lit(False).alias("section"), (c("doc_index") % 2 == 0).alias("source_top")))
 
 
+@query()
+def q_clean_blocks(spark, d):
+    return build.build(tables.read(spark, d, "pages"))["marked"]
+
+
+@query()
+def q_clean_audit(spark, d):
+    return build.build(tables.read(spark, d, "pages"))["audit"]
+
+
+@query()
+def q_build_books(spark, d):
+    return build.build(tables.read(spark, d, "pages"))["books"]
+
+
 # ---------------------------------------------------------------- star schema: joins and aggregates at large
 
 
