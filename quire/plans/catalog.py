@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import patterns, text
-from quire.operators import blocks, compose, headings, identity, quality, spine, toc
+from quire.operators import blocks, compose, headings, identity, preflight, quality, spine, toc
 from quire.plans import build, dag, duck, jobs, settings, tables
 from quire.plans.tables import DUCK_LAID_OUT, DUCK_LINES, DUCK_LOG, DUCK_TURNS
 
@@ -456,6 +456,47 @@ def q_font_inventory(spark, d):
     return tables.read(spark, d, "documents").groupBy("lang").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("fonts"), F.countDistinct("source").alias("n"))
 
 
+_MADE = "case when page = 2 and line_no % 26 = 1 then 'Contents' when line_no % 26 = 0 then ((page + 1) // 2)::varchar else text end"
+_MADE_LINES = f"(select book, page, line_no, {_MADE} as text, y, size from {DUCK_LAID_OUT})"
+_TEXTS = f"(select book, page, string_agg(text, chr(10) order by line_no) as text, count(*) as n_lines, arg_max(text, line_no) as last from {_MADE_LINES} where text <> '' group by book, page)"
+_SAYS = f"regexp_matches(text, {q(preflight.CONTENTS)})"
+
+
+def _made(spark, d):
+    made = F.when((c("page") == 2) & (c("line_no") % 26 == 1), "Contents").when(c("line_no") % 26 == 0, F.expr("cast((page + 1) div 2 as string)")).otherwise(c("text"))
+    return tables.laid_out(spark, d).withColumn("text", made)
+
+
+@query(f"""with a as (select book, coalesce(max(case when page <= 30 and {_SAYS} then page end), 0) as after from {_TEXTS} group by book)
+select l.book, min(l.page) as first_page from {_MADE_LINES} l join a on l.book = a.book where text = '1' and y > 700 and page > after and page <= after + 12 group by l.book""")
+def q_first_body_page(spark, d):
+    return preflight.first_body(_made(spark, d), low=700.0)
+
+
+@query(f"""with a as (select book, max(page) as after from {_TEXTS} where page <= 20 and {_SAYS} group by book),
+b as (select l.book, min(l.page) as page from {_MADE_LINES} l join a on l.book = a.book where text <> '' and not regexp_matches(text, {q(preflight.FOLIO)}) and page > after and page <= after + 6 group by l.book),
+t as (select l.*, row_number() over (partition by l.book, l.page order by line_no desc) as back from {_MADE_LINES} l join b on l.book = b.book and l.page = b.page where text <> '')
+select book, page, 'first_body_folio' as "check", d as detail from (select book, page, arg_max(text, line_no) filter (where regexp_matches(text, '^[0-9]+$')) as d from t where back <= 4 group by book, page) where d is not null and d <> '1'""")
+def q_first_folio(spark, d):
+    return preflight.first_folio(_made(spark, d))
+
+
+@query(f"""select book, 1::bigint as page, 'toc_page_numbers' as "check", 'no leaders' as detail from {_MADE_LINES} where page <= 12 group by book having bool_or(contains(text, 'Contents')) and not bool_or(regexp_matches(text, '\\.{{2,}}\\s*[0-9]+'))""")
+def q_missing_leaders(spark, d):
+    return preflight.missing_leaders(_made(spark, d))
+
+
+@query(f"""select l.book, l.page, l.line_no, l.text from {_MADE_LINES} l join (select book, min(page) as start from {_TEXTS} where page <= 20 and {_SAYS} group by book) f on l.book = f.book where l.page >= start and l.page < start + 4 and l.page <= 20""")
+def q_contents_window(spark, d):
+    return preflight.contents_window(_made(spark, d)).select("book", "page", "line_no", "text")
+
+
+@query("select doc_id, array_to_string(list_distinct_ordered, ' ') as pages from (select doc_id, list_filter([1, 2, 3, 4, 5, 6, 9, 13, 21, 31, 51, 101], lambda p: p <= n) || case when n > 0 and not list_contains([1, 2, 3, 4, 5, 6, 9, 13, 21, 31, 51, 101], n) then [n] else [] end as list_distinct_ordered from (select doc_id, (n_chars // 60)::int as n from documents))")
+def q_sampled_pages(spark, d):
+    n = F.expr("n_chars div 60")
+    return tables.read(spark, d, "documents").select("doc_id", F.array_join(F.transform(preflight.sampled_pages(n, 13), lambda p: p.cast("string")), " ").alias("pages"))
+
+
 def _findings(spark, d):
     lines = tables.lines(spark, d)
     return quality.line_spills(lines).unionByName(quality.widows(lines)).unionByName(quality.orphan_pages(lines, after=1)).unionByName(quality.narrow_columns(tables.laid_out(spark, d)))
