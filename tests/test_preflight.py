@@ -35,3 +35,13 @@ def test_styles_fonts_and_pages(spark):
     assert [r.page for r in preflight.blank_artifacts(pages).collect()] == [1]
     grey = spark.createDataFrame([(1, 1, 10.0), (1, 1, 60.0), (1, 2, 200.0)], "book long, page long, grey double")
     assert [r.page for r in preflight.dark_pages(grey).collect()] == [1]
+
+
+def test_stylesheet(spark):
+    from quire.operators import stylesheet
+
+    s = settings.DEFAULTS | {"title": 'A "B"', "justify_prose": False}
+    out = stylesheet.css(s)
+    assert "margin-top: 31.0mm" in out and "text-align: left" in out and 'content: "A \\"B\\""' in out
+    assert ".work-description { font-style: italic; font-size: 10.6pt" in out
+    assert stylesheet.rules(spark, s).count() == len(stylesheet.RULES)
