@@ -12,7 +12,11 @@ Conventions that hold for every operator of this package:
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,18 +45,26 @@ def rows_of(docs: DataFrame, *columns: str) -> DataFrame:
     return with_rid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns)).select("rid", "doc_id", *columns)
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of ``most`` bytes of a text column each; a longer row is a part by itself."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < batch.num_rows:
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(col, ASCII_UPPER, ASCII_UPPER.lower())
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir."""
+    """The folder that driver and executors share, spark.checkpoint.dir; one of its own where that is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return (folder or "/tmp/checkpoints").rstrip("/")
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
