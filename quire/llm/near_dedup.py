@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import discard, materialise, partitions, rows_of, with_rid
+from quire.llm.common import discard, materialise, partitions, rows_of, slices, with_rid
 from quire.llm.components import components
 from quire.llm.shingles import shingle_sets
 from quire.llm.suffix_dedup import mix
@@ -67,8 +67,7 @@ def estimate(differing: np.ndarray) -> np.ndarray:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for lo in range(0, whole.num_rows, 1024):
-            b = whole.slice(lo, 1024)
+        for b in slices(whole, "text"):
             hashes, offsets = shingle_sets(b.column("text"))
             n = np.diff(offsets)
             has = n > 0
@@ -90,8 +89,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for lo in range(0, whole.num_rows, 1024):
-            b = whole.slice(lo, 1024)
+        for b in slices(whole, "text"):
             hashes, offsets = shingle_sets(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array([hashes[a:z].tobytes() for a, z in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["id", "shingles"])
 
@@ -207,11 +205,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = rows_of(docs, "text")
     fp = materialise(rows.mapInArrow(_fingerprints, _FP), "fingerprints")
     worded = fp.where("n > 0")
-    classes = worded.groupBy("n", "s1", "s2").agg(F.min("rid").alias("cls"))
+    # aggregates are tables of their own, so that adaptive execution can split a large group's side of the joins
+    classes = materialise(worded.groupBy("n", "s1", "s2").agg(F.min("rid").alias("cls")), "class-ids")
     members = materialise(worded.select("rid", "doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).select("rid", "doc_id", "n", "cls"), "classes")
     reps = worded.join(members.where("rid = cls").select("rid"), "rid", "left_semi").select(F.col("rid").alias("id"), "n", "bands", "sketch")
     at = reps.select("id", F.explode("bands").alias("bucket"))
-    buckets = at.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("c")).where("c > 1")
+    buckets = materialise(at.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("c")).where("c > 1"), "leaders")
     shared = materialise(at.join(buckets, "bucket"), "buckets")
     ids = materialise(shared.select("id").distinct(), "candidates")
     few = ids.count() <= BROADCAST_IDS
@@ -229,7 +228,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comps = materialise(components(first), "components-1")
     # buckets that span several components
     spread = shared.join(comps.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "c", F.coalesce("component", "id").alias("comp"))
-    spans = spread.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("bucket")
+    spans = materialise(spread.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("bucket"), "spans")
     blocks = F.ceil(F.col("c") / F.lit(BLOCK)).cast("long")
     block = F.pmod(F.xxhash64("id"), blocks)
     in_blocks = spread.join(spans, "bucket").select("bucket", "id", "comp", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
@@ -245,7 +244,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for done in (shared, sets, info, still):
         discard(done)
     labelled = members.join(final.withColumnRenamed("node", "cls"), "cls", "left").select("rid", "doc_id", "n", "cls", F.coalesce("component", "cls").alias("comp"))
-    smallest = labelled.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))["rid"].alias("keep"))
+    smallest = materialise(labelled.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))["rid"].alias("keep")), "smallest")
     out = labelled.join(smallest, "comp").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), (F.col("rid") == F.col("keep")).alias("first"))
     wordless = fp.where("n = 0").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.col("rid").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(True).alias("first"))
     return out.unionByName(wordless)
