@@ -14,6 +14,7 @@ Training sees at most SAMPLE documents of either label, drawn by a hash of doc_i
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,8 +27,8 @@ from quire.llm import crf
 from quire.llm.common import rows_of, with_rid
 
 #: Labelled documents of either label that training may see, and blocks of either kind.
-SAMPLE = 1500
-BLOCKS = 5000
+SAMPLE = 1000
+BLOCKS = 3000
 LENGTH = 32
 _TOKEN = re.compile(r"\w+")
 
@@ -125,7 +126,8 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60) -> Model:
     toxic = np.asarray(toxic, bool)
     if not toxic.any() or toxic.all():
         return Model({}, np.zeros((2, 2)), np.zeros(2), np.array([-3.0, 0, 0, 0]))
-    tokens = [_TOKEN.findall(t.lower()) for t in texts]
+    one: dict[str, str] = {}  # one string per distinct word
+    tokens = [[one.setdefault(w, w) for w in _TOKEN.findall(t.lower())] for t in texts]
     telling = label_tokens(tokens, toxic)
     marked: dict[str, bool] = {}
     blocks: tuple[list, list] = ([], [])
@@ -140,8 +142,9 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60) -> Model:
             blocks[any(labels)].append((part, labels))
     # every so many of either kind, in place of the first ones
     chosen = [b for kind in blocks for b in kind[:: max(1, -(-len(kind) // BLOCKS))]]
+    del tokens, blocks, marked
     features: dict[str, int] = {"bias": 0}
-    rows, cols = [], []
+    rows, cols = array("q"), array("q")
     y = np.zeros((len(chosen), LENGTH), np.int64)
     mask = np.zeros_like(y, bool)
     common = Counter(f for part, _ in chosen for w in part for f in _parts(w))
@@ -155,7 +158,7 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60) -> Model:
             for f in found:
                 rows.append(k * LENGTH + i)
                 cols.append(features.setdefault(f, len(features)))
-    weights, trans, begin = crf.train(np.array(rows), np.array(cols), y, mask, len(features), 2, rounds=rounds)
+    weights, trans, begin = crf.train(np.frombuffer(rows, np.int64), np.frombuffer(cols, np.int64), y, mask, len(features), 2, rounds=rounds)
     gap = weights[:, 1] - weights[:, 0]
     table: dict[str, list[float]] = {}
     for f, k in features.items():
