@@ -1,13 +1,18 @@
 """Ordered documents of a book: probe, rule-based kinds, window passes, sections.
 
 A spine is a table (book, doc_index, ...) in reading order. All but the probe's regex
-flattening are projections and windows partitioned by book.
+flattening and its count over nested divs are projections and windows partitioned by book.
 """
 
 from __future__ import annotations
 
+import re
+from html import unescape
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 from pyspark.sql.window import Window as W
 
 from quire.functions.patterns import found, test
@@ -16,6 +21,8 @@ from quire.functions.text import clean_text, display_title, html_unescape, title
 #: Markup without text, the probe's caps, and the vocabularies of apparatus.
 DROP = r"(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>|<iframe.*?</iframe>|<object.*?</object>"
 HEADING = r"(?is)<(h[1-6])[^>]*>(.*?)</h[1-6]>"
+CLASS = r"""(?is)\sclass\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)?[^>]*>")
 SAMPLE = 9000
 CONTENTS_HEADING = r"^((the\s+)?principal\s+contents|series\s+contents|alphabetical\s+list\s+of\s+titles|list\s+of\s+essays\s+(in\s+)?alphabetical\s+order)$"
 SHORT_CONTENTS_HEADING = r"^((list\s+of\s+)?illustrations|contents|table\s+of\s+contents)$"
@@ -53,20 +60,53 @@ def flat_text(markup: Column) -> Column:
     return clean_text(html_unescape(F.regexp_replace(markup, "<[^>]*>", " ")))
 
 
+def div_breaks(markup: str) -> int:
+    """How many divs, nested ones too, hold two <br> or more and under 1600 characters of text; counts to 2."""
+    blocks = at = breaks = width = 0
+    open_: list[tuple[int, int]] = []
+    for m in TAG.finditer(markup + "</div>" * len(re.findall("(?i)<div", markup))):
+        width += sum(len(w) + 1 for w in unescape(markup[at : m.start()]).split())
+        at = m.end()
+        name = (m[2] or "").lower()
+        if name == "br":
+            breaks += not m[1]
+        elif name == "div" and not m[1]:
+            open_.append((breaks, width))
+        elif name == "div" and open_:
+            b, w = open_.pop()
+            blocks += breaks - b >= 2 and width - w - 1 < 1600
+            if blocks == 2:
+                break
+    return blocks
+
+
+@F.pandas_udf(IntegerType())
+def _div_breaks(markup: pd.Series) -> pd.Series:
+    return markup.map(lambda h: 0 if h is None else div_breaks(h)).astype("int32")
+
+
 def probe(pages: DataFrame, per_book: int = 10) -> DataFrame:
     """Pages (page_id, url, html) -> (book, doc_index, name, tag, heading, n_headings, license_headings, text, n_chars, n_words, links, images, poetry, drama).
 
     ``per_book`` neighbouring pages are one book. A null page has no text and no heading.
+    Three signs make poetry: a class of verse on one of the first 500 tags, two of all
+    paragraphs and divs with two breaks or more, or a run of six short paragraphs among
+    the first 200.
     """
     html = F.regexp_replace(F.coalesce("html", F.lit("")), DROP, "")
     rows = pages.select(F.expr(f"page_id div {per_book}").alias("book"), (F.col("page_id") % per_book).alias("doc_index"), F.col("url").alias("name"), html.alias("h"))
-    paragraphs = F.transform(F.slice(F.split("h", "(?i)<p[ >]"), 2, 200), lambda p: F.split_part(p, F.lit("</p>"), F.lit(1)))
-    texts = F.transform(F.col("ps"), lambda p: flat_text(F.concat(F.lit("<p>"), p)))
+    paragraphs = F.transform(F.slice(F.split("h", "(?i)<p[ >]"), 2, 2**30), lambda p: F.split_part(p, F.lit("</p>"), F.lit(1)))
+    texts = F.transform(F.slice("ps", 1, 200), lambda p: flat_text(F.concat(F.lit("<p>"), p)))
     # one letter for each paragraph that isn't blank: s for a short one without a final period
     letters = F.array_join(F.transform(texts, lambda t: F.when(t == "", F.lit("")).when((F.length(t) >= 2) & (F.length(t) <= 64) & ~F.endswith(t, F.lit(".")), F.lit("s")).otherwise(F.lit("x"))), "")
     broken = F.size(F.filter("ps", lambda p: (F.regexp_count(F.lower(p), F.lit("<br")) >= 2) & (F.length(flat_text(p)) < 1600)))
+    tags = F.slice(F.regexp_extract_all("h", F.lit(r"(?s)<[a-zA-Z][^>]*>"), F.lit(0)), 1, 500)
+    classes = F.array_join(F.transform(tags, lambda t: F.regexp_extract(t, CLASS, 1)), " ")
     headings = F.transform(F.regexp_extract_all("h", F.lit(HEADING), F.lit(2)), flat_text)
     rows = rows.withColumn("ps", paragraphs).withColumn("hs", F.filter(headings, lambda t: t != "")).withColumn("text", flat_text(F.col("h")))
+    rows = rows.withColumn("verse", F.rlike(letters, F.lit("s{6}")) | test(classes, "poetry_class")).withColumn("broken", broken)
+    nested = ~F.col("verse") & (F.col("broken") < 2) & (F.regexp_count(F.lower("h"), F.lit("<br")) >= 2)
+    rows = rows.withColumn("broken", F.col("broken") + _div_breaks(F.when(nested, F.col("h"))))
     return rows.select(
         "book",
         "doc_index",
@@ -80,7 +120,7 @@ def probe(pages: DataFrame, per_book: int = 10) -> DataFrame:
         word_count(F.col("text")).alias("n_words"),
         F.regexp_count(F.lower("h"), F.lit("<a[ >]")).cast("long").alias("links"),
         F.regexp_count(F.lower("h"), F.lit("<img[ >/]")).cast("long").alias("images"),
-        (F.rlike(letters, F.lit("s{6}")) | (broken >= 2)).alias("poetry"),
+        (F.col("verse") | (F.col("broken") >= 2)).alias("poetry"),
         F.exists("hs", lambda t: test(t, "cast", "match")).alias("drama"),
     )
 
