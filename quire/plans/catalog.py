@@ -63,7 +63,7 @@ def q_batch_names(spark, d):
 
 @query(f"select lang, key, min(doc_id) as first_doc, count(*) as n from (select doc_id, lang, {duck.key('substr(text, 1, 60)')} as key from documents) where key <> '' group by lang, key")
 def q_title_key_dedup(spark, d):
-    rows = tables.read(spark, d, "documents").select("doc_id", "lang", text.title_key(F.substring("text", 1, 60)).alias("key")).where("key <> ''")
+    rows = tables.read(spark, d, "documents").select("doc_id", "lang", text.title_key(c("text")).alias("key")).where("key <> ''")
     return rows.groupBy("lang", "key").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
 
 

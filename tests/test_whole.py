@@ -1,6 +1,7 @@
 """Work that goes over whole inputs: what lies beyond an old cut counts."""
 
 from quire.operators import spine
+from quire.plans import catalog
 
 
 def test_verse_anywhere(spark):
@@ -24,3 +25,11 @@ def test_verse_anywhere(spark):
     assert [got[k].poetry for k in range(len(pages))] == [True, True, True, True, False, False, True, False, False, True, False]
     assert [got[k].kind for k in (0, 1, 6)] == ["poetry"] * 3
     assert spine.div_breaks("<div>a<br>b<br>c") == 1 and spine.div_breaks("</div><br><br>") == 0
+
+
+def test_title_key_of_whole_text(spark, tmp_path):
+    opening = "The same long opening of words that two different texts share, "
+    rows = [(1, "en", opening + "one"), (2, "en", opening + "two"), (3, "en", opening.upper() + "One!"), (4, "en", " ")]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.q_title_key_dedup(spark, str(tmp_path)).collect()
+    assert sorted((r.first_doc, r.n) for r in got) == [(1, 2), (2, 1)]
