@@ -27,8 +27,8 @@ from quire.llm import crf
 from quire.llm.common import rows_of, with_rid
 
 #: Labelled documents of either label that training may see, and blocks of either kind.
-SAMPLE = 1000
-BLOCKS = 3000
+SAMPLE = 1500
+BLOCKS = 5000
 LENGTH = 32
 _TOKEN = re.compile(r"\w+")
 

@@ -1,5 +1,6 @@
 """Work that goes over whole inputs: what lies beyond an old cut counts."""
 
+from quire.llm import toxicity
 from quire.operators import spine
 from quire.plans import catalog
 
@@ -33,3 +34,11 @@ def test_title_key_of_whole_text(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = catalog.q_title_key_dedup(spark, str(tmp_path)).collect()
     assert sorted((r.first_doc, r.n) for r in got) == [(1, 2), (2, 1)]
+
+
+def test_toxicity_trains_on_1500(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: seen.extend(toxic))
+    rows = spark.range(4000).selectExpr("id as doc_id", "'a text' as text", "cast(id % 2 as int) as toxic")
+    toxicity.learn(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
+    assert (sum(seen), len(seen)) == (1500, 3000) and toxicity.BLOCKS == 5000
