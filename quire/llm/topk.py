@@ -59,7 +59,7 @@ class Best:
 
     def __init__(self, n: int, k: int):
         self.n, self.k = n, k
-        self.q, self.score = np.zeros(0, np.int64), np.zeros(0)
+        self.q, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.vec, self.null, self.rid = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
         self.least = np.full(n, -np.inf)
 
@@ -67,7 +67,7 @@ class Best:
         if not len(q):
             return
         q, score, vec, null, rid = (np.concatenate(x) for x in ((self.q, q), (self.score, score), (self.vec, vec), (self.null, null), (self.rid, rid)))
-        order = np.lexsort((rid, vec, null, -score, q))
+        order = np.lexsort((rid, vec, null, ~score, q))  # ~ has no overflow
         q = q[order]
         place = np.arange(len(q)) - np.searchsorted(q, q)
         order, q = order[place < self.k], q[place < self.k]
@@ -104,7 +104,7 @@ def _search(best: Best, queries: np.ndarray, q_rid: np.ndarray, m: np.ndarray, v
                 s = s + np.einsum("ij,ji->i", part[qi, start:end], vertical[start:end, ci])
                 stay = s + q_rest[b][qi] * c_rest[b][ci] >= least[qi]
                 qi, ci, s = qi[stay], ci[stay], s[stay]
-        best.add(qi + lo, s, vec[ci], null[ci], rid[ci])
+        best.add(qi + lo, s.astype(np.int64), vec[ci], null[ci], rid[ci])
 
 
 def _exact(best: Best, queries: np.ndarray, q_rid: np.ndarray, m: np.ndarray, vec, null, rid) -> None:
@@ -114,7 +114,7 @@ def _exact(best: Best, queries: np.ndarray, q_rid: np.ndarray, m: np.ndarray, ve
         q = [int(x) for x in row]
         scores = np.array([max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, c, strict=True)))) for c in ints], object)
         ok = rid != q_rid[k]
-        best.add(np.full(int(ok.sum()), k), scores[ok].astype(np.float64), vec[ok], null[ok], rid[ok])
+        best.add(np.full(int(ok.sum()), k), scores[ok].astype(np.int64), vec[ok], null[ok], rid[ok])
 
 
 def _task(sent, k: int):
@@ -133,7 +133,7 @@ def _task(sent, k: int):
                 (_search if small else _exact)(best, queries, q_rid, m[x], vec[x], null[x], rid[x])
         q = best.q
         yield pa.RecordBatch.from_arrays(
-            [pa.array(q_rid[q]), pa.array(q_id[q]), pa.array([int(x) if abs(x) < 2**63 else (2**63 - 1 if x > 0 else -(2**63)) for x in best.score], pa.int64()), pa.array(best.vec, mask=best.null), pa.array(best.rid)], names=["q_rid", "query_id", "score", "vec_id", "rid"]
+            [pa.array(q_rid[q]), pa.array(q_id[q]), pa.array(best.score), pa.array(best.vec, mask=best.null), pa.array(best.rid)], names=["q_rid", "query_id", "score", "vec_id", "rid"]
         )
 
     return run
