@@ -57,7 +57,7 @@ def q_slugify(spark, d):
 select p_partkey, slug || case when n > 1 then '-' || n else '' end || '.pdf' as output
 from (select *, row_number() over (partition by slug order by lower(p_name || '/' || lpad(p_partkey::varchar, 9, '0'))) as n from s)""")
 def q_batch_names(spark, d):
-    part = tables.read(spark, d, "part").select("p_partkey", F.substring("p_name", 1, 12).alias("stem"), F.concat("p_name", F.lit("/"), F.lpad(c("p_partkey").cast("string"), 9, "0")).alias("path"))
+    part = tables.read(spark, d, "part").select("p_partkey", c("p_name").alias("stem"), F.concat("p_name", F.lit("/"), F.lpad(c("p_partkey").cast("string"), 9, "0")).alias("path"))
     return identity.batch_names(part).select("p_partkey", "output")
 
 
@@ -601,7 +601,7 @@ def q_latest_stage(spark, d):
 
 @query()
 def q_unique_ids(spark, d):
-    rows = tables.read(spark, d, "part").select((c("p_partkey") % 20).alias("book"), c("p_partkey").alias("seq"), F.substring("p_name", 1, 6).alias("title"))
+    rows = tables.read(spark, d, "part").select((c("p_partkey") % 20).alias("book"), c("p_partkey").alias("seq"), c("p_name").alias("title"))
     return identity.unique_ids(rows)
 
 

@@ -48,3 +48,10 @@ def test_topk_scores_beyond_doubles(spark):
     rows = [(0, [2.0**35, 2.0**-10]), (1, [1.0, 0.0]), (2, [1.0, 2.0**-10]), (3, [-1.0, 0.0])]
     got = topk.topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in got] == [(2, 2**55 + 1), (1, 2**55), (3, -(2**55))]
+
+
+def test_whole_part_names(spark, tmp_path):
+    rows = [(20, "a long name of one"), (40, "a long name of two")]
+    spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    assert {r.ident for r in catalog.q_unique_ids(spark, str(tmp_path)).collect()} == {"a-long-name-of-one", "a-long-name-of-two"}
+    assert {r.output for r in catalog.q_batch_names(spark, str(tmp_path)).collect()} == {"a-long-name-of-one.pdf", "a-long-name-of-two.pdf"}
