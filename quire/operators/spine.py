@@ -125,6 +125,14 @@ def probe(pages: DataFrame, per_book: int = 10) -> DataFrame:
     )
 
 
+def heading_list(pages: DataFrame, per_book: int = 10) -> DataFrame:
+    """All headings of each page in order, as 'Hn: text' joined by ' | '; those without text are left out."""
+    rows = pages.select(F.expr(f"page_id div {per_book}").alias("book"), (F.col("page_id") % per_book).alias("doc_index"), F.regexp_replace(F.coalesce("html", F.lit("")), DROP, "").alias("h"))
+    tags, texts = (F.regexp_extract_all("h", F.lit(HEADING), F.lit(k)) for k in (1, 2))
+    pairs = F.zip_with(tags, F.transform(texts, flat_text), lambda tag, t: F.when(t != "", F.concat(F.upper(tag), F.lit(": "), t)))
+    return rows.select("book", "doc_index", F.array_join(F.array_compact(pairs), " | ").alias("headings"))
+
+
 def apparatus_hits(heading: Column, text: Column) -> Column:
     """How many of the publisher's 14 signs a heading and the start of the text show."""
     whole = F.concat(F.lower(heading), F.lit(" "), F.substring(F.lower(text), 1, 2500))

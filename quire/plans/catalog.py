@@ -163,6 +163,11 @@ def q_html_text(spark, d):
     return tables.probed(spark, d).select("book", "doc_index", "text")
 
 
+@query()
+def q_heading_list(spark, d):
+    return spine.heading_list(tables.read(spark, d, "pages"))
+
+
 def _ladder() -> str:
     """classify() in SQL."""
     f, t = duck.found, duck.test

@@ -55,3 +55,10 @@ def test_whole_part_names(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
     assert {r.ident for r in catalog.q_unique_ids(spark, str(tmp_path)).collect()} == {"a-long-name-of-one", "a-long-name-of-two"}
     assert {r.output for r in catalog.q_batch_names(spark, str(tmp_path)).collect()} == {"a-long-name-of-one.pdf", "a-long-name-of-two.pdf"}
+
+
+def test_heading_list(spark, tmp_path):
+    pages = [(0, "u", "<h1>One</h1><p>x</p><H2 class='a'>Two &amp; <i>more</i></H2><h3> </h3>"), (1, "u", None), (2, "u", "<h4>x</h4>" * 50)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.doc_index: r.headings for r in catalog.QUERIES["q_heading_list"](spark, str(tmp_path)).collect()}
+    assert got == {0: "H1: One | H2: Two & more", 1: "", 2: " | ".join(["H4: x"] * 50)}
