@@ -11,12 +11,16 @@ Conventions that hold for every operator of this package:
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,20 +33,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _is_scan(df: DataFrame) -> bool:
+    """Whether each row of ``df`` is one row of a Parquet file: columns and filters over one scan, nothing else."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        if not plan.deterministic():
+            return False
+        plan = plan.children().head()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return plan.relation().fileFormat().getClass().getSimpleName() == "ParquetFileFormat"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` itself where it is a scan of Parquet files, else its rows written once and read back."""
+    return df if _is_scan(df) else materialise(df, "input")
+
+
+#: Rows that a file may always have; files are told apart by hashes at least that far apart.
+FILE_ROWS = 1 << 31
+
+
+def _salt(files: list[str]) -> tuple[int, int]:
+    """A salt that keeps the files' first ids far apart, and how far that is."""
+    best = (0, 0)
+    for salt in range(16):
+        at = np.sort(np.array([xxhash.xxh64_intdigest(f"{f}#{salt}".encode(), 42) >> 2 for f in files], np.int64))
+        gap = int(np.diff(at).min(initial=1 << 62))
+        if gap > best[1]:
+            best = (salt, gap)
+        if gap >= FILE_ROWS:
+            break
+    return best
+
+
 def with_rid(df: DataFrame, name: str = "rid") -> DataFrame:
-    """Adds a row id that is the same each time the same table is scanned.
+    """Adds a row id that belongs to the stored row: its file's hash plus its place in the file.
 
-    The id is (scan partition, row in it). Spark deals files to scan partitions
-    from their sizes alone, so two uses of the column in one plan, or a task that
-    runs again after its executor is lost, see the same ids. Use it directly on a
-    stored table.
+    It doesn't depend on how files are dealt to tasks, so every use of a table, in
+    whatever plan and with however many cores or executors, sees the same ids. The
+    files' hashes are checked to lie further apart than a file has rows; a file that
+    is larger still fails the query. ``df`` must be stored().
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
+    files = [re.sub("^file:/+", "file:/", f) for f in df.inputFiles()]
+    salt, gap = _salt(files)
+    place = df.metadataColumn("_metadata")
+    first = F.shiftrightunsigned(F.xxhash64(F.concat(place["file_path"], F.lit(f"#{salt}"))), 2)
+    row = F.when(place["row_index"] < gap, place["row_index"]).otherwise(F.raise_error(F.lit("a file has too many rows for row ids")))
+    return df.select("*", (first + row).alias(name))
 
 
 def rows_of(docs: DataFrame, *columns: str) -> DataFrame:
-    """(rid, doc_id as long, the named columns) of a stored table."""
-    return with_rid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns)).select("rid", "doc_id", *columns)
+    """(rid, doc_id as long, the named columns) of a table."""
+    docs = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns))
+    return with_rid(docs).select("rid", "doc_id", *columns)
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
@@ -57,34 +101,89 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterato
 
 
 def ascii_lower(col: Column) -> Column:
-    """Lower-cases A-Z and nothing else."""
-    return F.translate(col, ASCII_UPPER, ASCII_UPPER.lower())
+    """Lower-cases A-Z and nothing else; a text of one-byte characters alone takes the fast way."""
+    return F.when(F.length(col) == F.octet_length(col), F.lower(col)).otherwise(F.translate(col, ASCII_UPPER, ASCII_UPPER.lower()))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, spark.checkpoint.dir; one of its own where that is unset, as in tests."""
+    """The folder that driver and executors share, spark.checkpoint.dir. Only a local session may leave it unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (folder or "/tmp/checkpoints").rstrip("/")
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = os.path.join(tempfile.gettempdir(), "quire-checkpoints")
+    return folder.rstrip("/")
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/quire/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes every table this application has written; no result of its operators can be read after that."""
+    _delete(spark, _own_folder(spark))
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cuts the lineage: writes the rows as a table in the shared folder and reads them back."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quire/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.quire_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
+def discard(*tables: DataFrame) -> None:
     """Deletes what materialise() wrote, once nothing reads it any more."""
-    path = getattr(df, "quire_path", None)
-    if path:
-        spark = df.sparkSession
-        there = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    for df in tables:
+        path = getattr(df, "quire_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+
+
+class Scratch:
+    """The tables an operator writes on its way; finish() leaves its result alone."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, label: str) -> DataFrame:
+        out = materialise(df, label)
+        self.tables.append(out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        discard(*tables)
+        self.tables = [t for t in self.tables if all(t is not x for x in tables)]
+
+    def finish(self, df: DataFrame, label: str) -> DataFrame:
+        """``df`` as a table, without any of the others."""
+        out = materialise(df, label)
+        self.drop(*self.tables)
+        return out
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], count: str) -> DataFrame:
+    """``rows`` joined to ``groups``, a stored row per key whose column ``count`` is the key's number of rows.
+
+    A group with more rows than a quarter of a task's even share is joined by
+    broadcast, where its rows stay wherever they are; there are at most four such
+    groups for each shuffle partition. All others are joined by shuffling.
+    """
+    found = groups.agg(F.sum(count).alias("n"), F.max(count).alias("most")).first()
+    share = max(1, (found.n or 0) // (4 * partitions(rows.sparkSession)))
+    if (found.most or 0) <= share:
+        return rows.join(groups, on)
+    hot = F.broadcast(groups.where(F.col(count) > share))
+    rest = rows.join(F.broadcast(groups.where(F.col(count) > share).select(*on)), on, "left_anti")
+    return rows.join(hot, on).unionByName(rest.join(groups.where(F.col(count) <= share), on))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialise, partitions, rows_of, with_rid
+from quire.llm.common import Scratch, join_groups, partitions, rows_of, stored, with_rid
 
 BLOCK = 8192
 _DOC = "rid long, doc_id long, sha binary, n_blocks int, left int, idx int"
@@ -95,14 +95,14 @@ def _ranks(same: tuple[str, ...]):
     return run
 
 
-def name(rows: DataFrame, order: tuple[str, ...], same: tuple[str, ...], label: str) -> tuple[DataFrame, int]:
+def name(rows: DataFrame, order: tuple[str, ...], same: tuple[str, ...], label: str, keep: Scratch) -> tuple[DataFrame, int]:
     """Adds ``name``, the same integer for rows that agree in ``same``, in the order of ``order``.
 
     Also returns how many rows belong to documents with more than one block left.
     """
     spark = rows.sparkSession
     dealt = rows.repartitionByRange(partitions(spark), *order[:1], *(order[1:] if order[0] != "h" else ()), "rid", "idx").sortWithinPartitions(*order)
-    ranked = materialise(dealt.mapInArrow(_ranks(same), f"{_DOC}, pid long, rank long, first_edge binary, last_edge binary"), label)
+    ranked = keep(dealt.mapInArrow(_ranks(same), f"{_DOC}, pid long, rank long, first_edge binary, last_edge binary"), label)
     base, offsets, before, more = 0, [], None, 0
     for e in sorted(ranked.where("rid is null").select("doc_id", "pid", "rank", "first_edge", "last_edge").collect(), key=lambda e: e.pid):
         goes_on = before is not None and before == bytes(e.first_edge)
@@ -113,10 +113,11 @@ def name(rows: DataFrame, order: tuple[str, ...], same: tuple[str, ...], label:
     return named.select("rid", "doc_id", "sha", "n_blocks", "left", "idx", "name"), more
 
 
-def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def identities(docs: DataFrame, block: int = BLOCK, keep: Scratch | None = None) -> DataFrame:
     """Documents (doc_id, text) -> rid, doc_id, sha, n_blocks, name: equal texts have equal (n_blocks, name)."""
+    keep = keep or Scratch()
     rows = rows_of(docs, "text").mapInArrow(_blocks(block), f"{_DOC}, h binary, block binary")
-    named, more = name(rows, ("h", "block"), ("block",), "names-0")
+    named, more = name(rows, ("h", "block"), ("block",), "names-0", keep)
     done = named.where("left = 1")
     level = 0
     while more:
@@ -128,7 +129,7 @@ def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
             .agg(F.max("doc_id").alias("doc_id"), F.max("sha").alias("sha"), F.max("n_blocks").alias("n_blocks"), F.max("left").alias("left"), F.max(F.when(~odd, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(odd, F.col("name"))), F.lit(-1)).alias("b"))
             .select("rid", "doc_id", "sha", "n_blocks", F.shiftright(F.col("left") + 1, 1).alias("left"), F.col("pair").alias("idx"), "a", "b")
         )
-        named, more = name(pairs, ("a", "b"), ("a", "b"), f"names-{level}")
+        named, more = name(pairs, ("a", "b"), ("a", "b"), f"names-{level}", keep)
         done = done.unionByName(named.where("left = 1"))
     return done.select("rid", "doc_id", "sha", "n_blocks", "name")
 
@@ -138,17 +139,20 @@ def dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     One row per input row. Null and empty texts are equal. Of equal texts the row with
     the largest doc_id is kept (a null id is smallest; among rows with that same id the
-    last one of the table), so just one of each group. An empty table gives no rows.
+    one with the largest rid), so just one of each group. A very long text is so many
+    blocks, wherever they go. An empty table gives no rows.
     """
-    ids = identities(docs, block)
-    # a table of its own, so that adaptive execution can split a large group's side of the join
-    groups = materialise(ids.groupBy("n_blocks", "name").agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count("*").alias("group_size")), "groups")
-    out = ids.join(groups, ["n_blocks", "name"])
-    return out.select("rid", "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    keep = Scratch()
+    ids = identities(docs, block, keep)
+    groups = keep(ids.groupBy("n_blocks", "name").agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count("*").alias("group_size")), "groups")
+    out = join_groups(ids, groups, ["n_blocks", "name"], "group_size")
+    out = out.select("rid", "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return keep.finish(out, "identities")
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that dedup() keeps, all columns."""
+    docs = stored(docs)
     kept = dedup(docs).where("kept").select(F.col("rid").alias("__rid"))
     return with_rid(docs, "__rid").join(kept, "__rid", "left_semi").drop("__rid")
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import crf
-from quire.llm.common import with_rid
+from quire.llm.common import stored, with_rid
 from quire.llm.dom import Block, blocks
 
 PAGES = 500
@@ -231,5 +231,5 @@ def extract(pages: DataFrame) -> DataFrame:
     Blocks of main text come in page order, white space inside of them as one space,
     joined by two line ends.
     """
-    rows = with_rid(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")).select("rid", "page_id", "url", "html")
+    rows = with_rid(stored(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"))).select("rid", "page_id", "url", "html")
     return rows.mapInArrow(_extract(train()), "rid long, page_id long, url string, text string, n_chars long")

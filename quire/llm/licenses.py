@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import ascii_lower, with_rid
+from quire.llm.common import ascii_lower, stored, with_rid
 
 #: What separates words, and the base phrases with their labels.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before lower-casing: A-Z are letters
@@ -185,7 +185,7 @@ def scan(docs: DataFrame) -> DataFrame:
     for word in GATE[1:]:
         hit = hit | F.contains(lower, F.lit(word))
     hit = F.coalesce(hit | (F.contains(lower, F.lit("cc")) & F.rlike("text", F.lit(GATE_CC))), F.lit(False))
-    rows = with_rid(docs.select("doc_id", "text")).select("rid", "doc_id", normal_form(F.col("text")).alias("norm"), hit.alias("hit"))
+    rows = with_rid(stored(docs.select("doc_id", "text"))).select("rid", "doc_id", normal_form(F.col("text")).alias("norm"), hit.alias("hit"))
     rows = rows.select("rid", "doc_id", (_spaces(F.col("norm")) - 1).cast("long").alias("n_words"), F.when(F.col("hit"), ascii_lower(F.col("norm"))).alias("norm"))
     found = F.when(F.col("norm").isNotNull(), detect(F.col("norm")))
     rows = rows.select("rid", "doc_id", "n_words", found.alias("found"))

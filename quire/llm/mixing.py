@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quire.llm.common import WORD, materialise, with_rid
+from quire.llm.common import WORD, materialise, stored, with_rid
 
 #: Units of one copy in the prefix sums; 3 copies of 10^10 documents a source fit a long.
 UNIT_BITS = 28
@@ -67,7 +67,7 @@ def mix(docs: DataFrame, seed: str = "quire-mix", weights: tuple[int, ...] = (1,
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
     tie = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.md5("text"), F.lit(""))).cast("binary"))
     rows = materialise(
-        with_rid(docs.select("doc_id", "text", "source")).select("rid", "doc_id", key.alias("skey"), word_count(F.col("text")).alias("size"), tie.alias("tie")), "mix-rows"
+        with_rid(stored(docs.select("doc_id", "text", "source"))).select("rid", "doc_id", key.alias("skey"), word_count(F.col("text")).alias("size"), tie.alias("tie")), "mix-rows"
     ).withColumn("bucket", F.substring("tie", 1, 3))
     buckets = rows.groupBy("skey", "size", "bucket").agg(F.count("*").alias("n"))
     sizes = buckets.groupBy("skey", "size").agg(F.sum("n").alias("n"))
@@ -89,6 +89,7 @@ def mix(docs: DataFrame, seed: str = "quire-mix", weights: tuple[int, ...] = (1,
 
 def emit(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents themselves: each row of ``docs`` as often as mix() takes it, all its columns kept."""
+    docs = stored(docs)
     taken = mix(docs, **options).where("copies > 0").select(F.col("rid").alias("__rid"), F.col("copies").alias("__copies"))
     rows = with_rid(docs, "__rid").join(taken, "__rid")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__rid", "__copies", "__copy")

@@ -4,9 +4,12 @@ Suffix arrays are built per shard. A shard must hold all places of a string it i
 judge, so strings are dealt by content: every 200-byte window has an anchor, the
 32-byte gram in it with the smallest hash (leftmost of equals). Equal windows have
 equal anchors at the same offset. Consecutive windows with one anchor are a segment,
-and a document is a run of segments, each known by two hashes: its anchor's and its own.
+and a document is a run of segments, each known by its anchor's hash and the 128-bit
+digest of its own bytes.
 
 1. One row per segment. Anchors that occur once settle their windows: not repeated.
+   A stretch of a short period (blanks, rulers) repeats itself: its windows are found
+   at once and only those of its first period go on, to meet other documents.
 2. Where all segments of an anchor are alike, all their windows are repeated.
 3. Of the other anchors, each different segment is fetched once, and a shard of them
    gets a suffix array by induced sorting. A window is repeated if it shares 200 bytes
@@ -15,7 +18,8 @@ and a document is a run of segments, each known by two hashes: its anchor's and
    is dealt to several shards; windows that are alone in theirs meet those of the
    other shards by their content's 128-bit hash.
 
-Segments that share an anchor are told apart by 64-bit hashes, never merged by less.
+Equality of segments and of windows of split anchors is equality of 128-bit digests
+(XXH3, no algebra to collide by); the rolling hash chooses anchors and decides nothing.
 """
 
 from __future__ import annotations
@@ -24,10 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import discard, materialise, partitions, rows_of
+from quire.llm.common import Scratch, join_groups, partitions, rows_of
+from quire.llm.shingles import mix
 from quire.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 LENGTH = 200
@@ -35,17 +41,10 @@ GRAM = 32
 #: Bytes of segments in one suffix array, and segments of one anchor in one shard.
 SHARD_BYTES = 4_000_000
 SHARD_SEGMENTS = 4096
-_BASE = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)  # odd, so that they have inverses modulo 2^64
+_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
 _U = np.uint64
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """Spreads 64 bits (splitmix64's last steps)."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 class Rolling:
     """Hashes of any stretch of a byte array from prefix sums modulo 2^64."""
 
@@ -81,31 +80,83 @@ def _window_min(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(down[:n], up[w - 1 : w - 1 + n])
 
 
+def digests(t: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit digests (n x 2 longs) of stretches of a byte array."""
+    whole = memoryview(np.ascontiguousarray(t))
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(whole[a:z]) for a, z in zip(start.tolist(), end.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+
+
+def _period_end(t: np.ndarray, start: int, period: int, limit: int) -> int:
+    """How far the bytes from ``start`` on repeat with ``period``."""
+    lo, step = start + period, 256
+    while lo < limit:
+        hi = min(limit, lo + step)
+        differs = np.flatnonzero(t[lo:hi] != t[lo - period : hi - period])
+        if len(differs):
+            return lo + int(differs[0])
+        lo, step = hi, 2 * step
+    return limit
+
+
+def _periodic(t: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, h: np.ndarray, limit: np.ndarray, length: int, gram: int) -> list[tuple[int, int, int]]:
+    """(first window, windows, period) of stretches with a period of at most a gram, two periods of windows long.
+
+    There the same gram is the anchor again and again, one period further each time.
+    """
+    step = np.where((first[1:] == last[:-1]) & (h[anchor[1:]] == h[anchor[:-1]]), anchor[1:] - anchor[:-1], 0)
+    step = np.where((step > 0) & (step <= gram), step, 0)
+    out, done = [], 0
+    if step.any():
+        chain = np.flatnonzero((step > 0) & np.append(True, step[1:] != step[:-1]))
+        for k in chain.tolist():
+            p, s = int(anchor[k]), int(step[k])
+            if p + s + gram <= done:  # inside of the stretch before
+                continue
+            end = _period_end(t, p, s, int(limit[k]))
+            if (n := end - length - p + 1) >= 2 * s:
+                out.append((p, n, s))
+                done = end
+    return out
+
+
 def segments(t: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """Over documents laid end to end: (document, start in it, windows, anchor hash, own hash) of all segments."""
+    """Over documents laid end to end: all segments, and windows that are repeated for sure.
+
+    Segments as (document, start in it, windows, anchor hash, digests), then
+    (document, start in it, windows) of periodic stretches.
+    """
     none = np.zeros(0, np.int64)
+    nothing = (none, none, none, none, np.zeros((0, 2), np.int64)), (none, none, none)
     if len(t) < length:
-        return none, none, none, none, none
-    roll = Rolling(t, _BASE[0])
+        return nothing
     at = np.arange(len(t) - gram + 1)
-    h = roll(at, at + gram)
+    h = Rolling(t, _BASE)(at, at + gram)
     # 40 bits of the hash, then the place: the smallest is the leftmost of the smallest
     least = _window_min(((h >> _U(24)) << _U(24)) | at.astype(_U), length - gram + 1)
     anchor = (least & _U((1 << 24) - 1)).astype(np.int64)
     starts = np.arange(len(anchor))
     doc = np.searchsorted(bounds, starts, side="right") - 1
-    inside = starts + length <= bounds[doc + 1]
-    new = np.append(True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])) & inside
-    first = np.flatnonzero(new)
+    valid = starts + length <= bounds[doc + 1]
+    change = np.append(True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))
+
+    def runs() -> tuple[np.ndarray, np.ndarray]:
+        new = valid & (change | ~np.append(False, valid[:-1]))
+        return np.flatnonzero(new), np.flatnonzero(valid & np.append(new[1:] | ~valid[1:], True)) + 1
+
+    first, last = runs()
     if not len(first):
-        return none, none, none, none, none
-    # a segment ends with the next one, or with the last window of its document
-    last = np.minimum(np.append(first[1:], len(t)), bounds[doc[first] + 1] - length + 1)
-    own = roll(first, last - 1 + length) ^ mix((last - first).astype(_U))
-    return doc[first], first - bounds[doc[first]], last - first, h[anchor[first]].view(np.int64), own.view(np.int64)
+        return nothing
+    found = _periodic(t, first, last, anchor[first], h, bounds[doc[first] + 1], length, gram)
+    for p, n, s in found:
+        valid[p + s : p + n] = False
+    if found:
+        first, last = runs()
+    of = doc[first]
+    p, n, _ = np.array(found, np.int64).reshape(-1, 3).T
+    return (of, first - bounds[of], last - first, h[anchor[first]].view(np.int64), digests(t, first, last - 1 + length)), (doc[p], p - bounds[doc[p]], n)
 
 
-_SEGMENTS = "anchor long, seg long, rid long, start int, n int"
+_SEGMENTS = "anchor long, seg long, seg2 long, rid long, start int, n int"
 
 
 def _texts(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -127,10 +178,13 @@ def _anchors(length: int, gram: int):
                 for p in range(a, max(z - length + 1, a + 1), 1 << 23):  # pieces of one document overlap by a window less a byte
                     q = min(z, p + (1 << 23) + length - 1)
                     cut = np.clip(bounds[lo : hi + 1], p, q) - p
-                    doc, start, n, anchor, seg = segments(data[p:q], cut, length, gram)
+                    (doc, start, n, anchor, seg), (p_doc, p_start, p_n) = segments(data[p:q], cut, length, gram)
                     if len(doc):
+                        nothing = pa.nulls(len(p_doc), pa.int64())  # sure windows have no anchor
+                        doc, start, n = np.append(doc, p_doc), np.append(start, p_start), np.append(n, p_n)
                         start = start + np.where(p > bounds[lo + doc], p - bounds[lo + doc], 0)
-                        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(seg), pa.array(rids[lo + doc]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["anchor", "seg", "rid", "start", "n"])
+                        keys = [pa.concat_arrays([pa.array(x), nothing]) for x in (anchor, seg[:, 0], seg[:, 1])]
+                        yield pa.RecordBatch.from_arrays([*keys, pa.array(rids[lo + doc]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["anchor", "seg", "seg2", "rid", "start", "n"])
                 lo = hi
 
     return run
@@ -161,8 +215,7 @@ def _judge(parts: list[tuple], length: int) -> Iterator[tuple]:
         if split:  # a window that is alone here, and of those that are not, the first in the array
             x = texts[k]
             at = np.flatnonzero(~mine | ~long[begin[k] : begin[k] + n])
-            one, two = (Rolling(x, base)(at, at + length).view(np.int64) for base in _BASE)
-            for p, h, g in zip(at.tolist(), one.tolist(), two.tolist(), strict=True):
+            for p, (h, g) in zip(at.tolist(), digests(x, at, at + length).tolist(), strict=True):
                 yield (rid, start + p, 1, h, g) if not mine[p] else (None, None, 2, h, g)
 
 
@@ -193,32 +246,52 @@ def _shards(length: int):
 
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
     """Documents (doc_id, text) -> (rid, start, n): runs of byte positions at which a repeated string of ``length`` starts."""
-    rows = rows_of(docs, "text")
-    n_parts = partitions(docs.sparkSession)
-    everything = materialise(rows.select("rid", "text").mapInArrow(_anchors(length, gram), _SEGMENTS), "segments")
-    info = everything.groupBy("anchor").agg(F.count("*").alias("c"), F.min("seg").alias("lo"), F.max("seg").alias("hi")).where("c > 1")
-    shared = materialise(everything.join(info.select("anchor", "c", (F.col("lo") == F.col("hi")).alias("alike")), "anchor"), "shared-segments")
-    discard(everything)
-    place = ["rid", "start", "n"]
+    return _repeated(rows_of(docs, "text"), length, gram, shard_segments)
+
+
+def _repeated(rows: DataFrame, length: int, gram: int, shard_segments: int) -> DataFrame:
+    n_parts, keep = partitions(rows.sparkSession), Scratch()
+    everything = keep(rows.select("rid", "text").mapInArrow(_anchors(length, gram), _SEGMENTS), "segments")
+    place, key = ["rid", "start", "n"], ["anchor", "seg", "seg2"]
+    sure = keep(everything.where("anchor is null").select(*place), "periodic")
+    anchored = everything.where("anchor is not null")
+    info = anchored.groupBy("anchor").agg(F.count("*").alias("c"), *(f(x).alias(f"{f.__name__}_{x}") for x in ("seg", "seg2") for f in (F.min, F.max))).where("c > 1")
+    info = keep(info.select("anchor", "c", F.expr("min_seg = max_seg and min_seg2 = max_seg2").alias("alike")), "anchors")
+    shared = keep(join_groups(anchored, info, ["anchor"], "c"), "shared-segments")
+    keep.drop(everything, info)
     mixed = shared.where("not alike")
-    kinds = mixed.groupBy("anchor", "seg").agg(F.count("*").alias("m"), F.min(F.struct("rid", "start", "n")).alias("at"), F.max("c").alias("c"))
-    twice = mixed.join(kinds.where("m > 1").select("anchor", "seg"), ["anchor", "seg"])
+    # of equal segments any one will do; the table settles which
+    kinds = keep(mixed.groupBy(*key).agg(F.count("*").alias("m"), F.first("rid").alias("rid"), F.first("start").alias("start"), F.first("n").alias("n"), F.max("c").alias("c")), "kinds")
+    twice = join_groups(mixed.select(*key, *place), kinds.where("m > 1").select(*key, "m"), key, "m")
     salts = F.ceil(F.col("c") / F.lit(shard_segments))
-    wanted = kinds.select(F.col("at.rid").alias("rid"), F.struct("anchor", F.pmod("seg", salts).cast("int").alias("salt"), F.col("at.start").alias("start"), F.col("at.n").alias("n"), (salts > 1).alias("split")).alias("w"))
+    wanted = kinds.select("rid", F.struct("anchor", F.pmod("seg", salts).cast("int").alias("salt"), "start", "n", (salts > 1).alias("split")).alias("w"))
     wanted = wanted.groupBy("rid").agg(F.collect_list("w").alias("w"))  # at most the segments of one document
     cut = rows.select("rid", F.col("text").cast("binary").alias("text")).join(wanted, "rid").select("rid", F.explode(F.transform("w", lambda w: F.struct(w.alias("w"), F.substring("text", w["start"] + 1, w["n"] + length - 1).alias("bytes")))).alias("x"))
     cut = cut.select("x.w.anchor", "x.w.salt", "rid", "x.w.start", "x.w.n", "x.w.split", "x.bytes")
     dealt = cut.repartition(n_parts, "anchor", "salt").sortWithinPartitions("anchor", "salt")
-    judged = materialise(dealt.mapInArrow(_shards(length), "rid long, start int, n int, h long, g long"), "judged")
-    # windows of split anchors that are alone in their shard, and elsewhere again
+    judged = keep(dealt.mapInArrow(_shards(length), "rid long, start int, n int, h long, g long"), "judged")
+    # windows of split anchors that are alone in their shard, and elsewhere again; a shard has each at most once
     open_windows = judged.where("h is not null")
     met = open_windows.groupBy("h", "g").agg(F.sum("n").alias("m")).where("m > 1").select("h", "g")
     late = open_windows.where("rid is not null").join(met, ["h", "g"])
-    found = [shared.where("alike"), twice, judged.where("h is null"), late]
-    out = found[0].select(*place)
-    for f in found[1:]:
-        out = out.unionByName(f.select(*place))
-    return out
+    found = sure
+    for part in (shared.where("alike"), twice, judged.where("h is null"), late):
+        found = found.unionByName(part.select(*place))
+    return keep.finish(found, "repeated")
+
+
+def _intervals(runs: pa.ListArray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the maximal stretches that runs of windows cover, by row and start."""
+    sizes = np.diff(runs.offsets.to_numpy())
+    flat = runs.flatten()
+    start, n = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n"))
+    row = np.repeat(np.arange(len(runs)), sizes)
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order], (start + n - 1 + length)[order]
+    far = np.maximum.accumulate((row << 40) + end) if len(row) else end
+    new = np.append(True, (row[1:] != row[:-1]) | ((row[1:] << 40) + start[1:] > far[:-1]))[: len(row)]
+    first = np.flatnonzero(new)
+    return row[first], start[first], (far - (row << 40))[np.append(first[1:], len(row))[: len(first)] - 1]
 
 
 def _removal(length: int):
@@ -226,23 +299,18 @@ def _removal(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[], [], [], []]
-            for text, starts in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("runs").to_pylist(), strict=True):
-                text = text or b""
-                kept, at, removed, spans = [], 0, 0, 0
-                end = -1
-                for x in sorted((x["start"], x["start"] + x["n"] - 1 + length) for x in starts or ()):
-                    if x[0] > end:
-                        spans += 1
-                        kept.append(text[at : x[0]])
-                        end = x[0]
-                    if x[1] > end:
-                        removed += x[1] - end
-                        end = at = x[1]
-                kept.append(text[at:])
-                for c, v in zip(cols, (len(text), removed, spans, b"".join(kept)), strict=True):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=names)
+            texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
+            runs = b.column("runs")
+            row, start, end = _intervals(runs.fill_null([]) if runs.null_count else runs, length)
+            removed = np.bincount(row, end - start, len(texts)).astype(np.int64)
+            edges = np.searchsorted(row, np.arange(len(texts) + 1))
+            kept = list(texts)
+            for k in np.flatnonzero(np.diff(edges)).tolist():
+                a, z = edges[k], edges[k + 1]
+                ends, starts = [0, *end[a:z].tolist()], [*start[a:z].tolist(), len(texts[k])]
+                kept[k] = b"".join([texts[k][x:y] for x, y in zip(ends, starts, strict=True)])
+            cols = [pa.array(np.fromiter(map(len, texts), np.int64, len(texts))), pa.array(removed), pa.array(np.diff(edges).astype(np.int64)), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), *cols], names=names)
 
     return run
 
@@ -252,10 +320,12 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_segmen
 
     One row per input row. Texts are UTF-8 bytes, a null one is empty; a text under
     ``length`` bytes stays whole. What remains need not be whole characters. Equal rows
-    are each other's repetition. An empty table gives no rows.
+    are each other's repetition. A very long text is worked on in pieces. An empty
+    table gives no rows.
     """
-    runs = repeated(docs, length, gram, shard_segments).groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    return rows_of(docs, "text").join(runs, "rid", "left").mapInArrow(_removal(length), "rid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    rows = rows_of(docs, "text")
+    runs = _repeated(rows, length, gram, shard_segments).groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    return rows.join(runs, "rid", "left").mapInArrow(_removal(length), "rid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digest(docs: DataFrame) -> DataFrame:

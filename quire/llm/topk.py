@@ -7,8 +7,9 @@ product of both remaining norms (an upper bound for what the other dimensions ca
 add) reaches the query's k-th best score; the survivors are compacted and only they
 go on. Dimensions with the largest mass in the queries come first.
 
-Queries are dealt to blocks of a bounded size; one block at a time is sent to all
-tasks, and each task returns its own best k per query.
+Queries are dealt to blocks of a bounded size, in rows and in bytes. One block at a
+time is fetched, sent to all tasks and given up again; each task returns its own best
+k per query, and what a block's tasks found is written before the next one goes out.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quire.llm.common import with_rid
+from quire.llm.common import materialise, stored, with_rid
 
 SCALE = 1024
-QUERY_BLOCK = 20_000
+#: Queries of a block, and bytes of their components.
+QUERY_BLOCK, QUERY_BYTES = 20_000, 32_000_000
 TILE = 2048
 GROUP = 512
 DIMS = 16
@@ -147,22 +149,29 @@ def topk(vectors: DataFrame, k: int = 10, every: int = 100, query_block: int = Q
     part; of different lengths, the shorter is filled up with zeros. A row is a query's
     own only if it is the same row: of rows with equal ids each is a query and a
     candidate to the others. Ties go to the smaller vec_id, a null id last. A query
-    without candidates has no rows.
+    without candidates has no rows. Scores are exact integers whatever the size of the
+    components; one beyond the range of long is held at its end. An empty table gives
+    no rows.
     """
     spark = vectors.sparkSession
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    rows = with_rid(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))).where(F.col("embedding").isNotNull() & finite)
+    rows = with_rid(stored(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")))).where(F.col("embedding").isNotNull() & finite)
     queries = rows.where(F.col("vec_id") % every == 0)
-    blocks = -(-queries.count() // query_block)
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dims")).first()
+    block = max(1, min(query_block, QUERY_BYTES // (8 * max(1, size.dims or 0))))
+    blocks = -(-size.n // block)
     out = None
     for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("rid"), F.lit(blocks)) == b).toArrow()  # about query_block rows
+        part = queries.where(F.pmod(F.xxhash64("rid"), F.lit(blocks)) == b).toArrow()  # about a block of rows
         if not part.num_rows:
             continue
         m = _matrix(part.column("embedding"))
         order = np.argsort(-(m * m).sum(axis=0), kind="stable")
         sent = spark.sparkContext.broadcast((part.column("rid").to_numpy(), part.column("vec_id").to_numpy(), np.ascontiguousarray(m[:, order]), order))
         found = rows.mapInArrow(_task(sent, k), _OUT)
+        if blocks > 1:
+            found = materialise(found, "best")
+            sent.destroy()
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import crf
-from quire.llm.common import rows_of, with_rid
+from quire.llm.common import rows_of, stored, with_rid
 
 #: Labelled documents of either label that training may see, and blocks of either kind.
 SAMPLE = 1500
@@ -240,5 +240,6 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not toxic, all columns."""
+    docs = stored(docs)
     gone = score(docs, labels, spans=False).where("predicted = 1").select(F.col("rid").alias("__rid"))
     return with_rid(docs, "__rid").join(gone, "__rid", "left_anti").drop("__rid")
