@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import crf
-from quire.llm.common import stored, with_rid
+from quire.llm.common import slices, stored, with_rid
 from quire.llm.dom import Block, blocks
 
 PAGES = 500
 SEED = 11
+#: Positions of pages that are decoded at once; a longer page is decoded by itself.
+CELLS = 30_000
 #: Words that tell of what is around the main text.
 TELLING = re.compile(r"(?i)\b(cookies?|subscribe|newsletter|copyright|rights reserved|advertisement|sponsored|promoted|log ?in|sign (?:in|up)|register|password|e-?mail|comments?|repl(?:y|ies)|share|follow|privacy|terms|related|read more|menu|home|contact|about us|search|submit|posted by|said|accept|previous|next)\b|©|»|«")
 
@@ -37,10 +39,9 @@ def features(page: list[Block]) -> list[list[str]]:
         size = "0" if n < 15 else "1" if n < 40 else "2" if n < 100 else "3" if n < 250 else "4"
         dense = "0" if link == 0 else "1" if link < 0.3 else "2" if link < 0.8 else "3"
         f = ["bias", f"t:{b.tag}", f"size:{size}", f"link:{dense}", f"size-link:{size}{dense}", f"t-link:{b.tag}:{dense}"]
-        f += sorted({f"a:{t}" for t, _ in b.path})
-        f += sorted({f"c:{w}" for _, ws in b.path for w in ws})
-        if len(b.path) > 1:
-            f.append(f"up:{b.path[-2][0]}>{b.tag}")
+        f += b.context
+        if b.up:
+            f.append(f"up:{b.up}>{b.tag}")
         f.append("end" if b.text[-1] in ".!?…\"”»:;" else "no-end")
         f.append(f"commas:{min(3, b.text.count(','))}")
         if words <= 30:
@@ -202,8 +203,12 @@ def decode(pages: list[list[Block]], model: tuple) -> list[np.ndarray]:
     index, weights, trans, begin = model
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(pages)
     order = sorted((k for k, p in enumerate(pages) if p), key=lambda k: len(pages[k]))
-    for lo in range(0, len(order), 128):  # pages of like length together
-        part = order[lo : lo + 128]
+    lo = 0
+    while lo < len(order):  # pages of like length together, so many cells at a time
+        hi = lo + 1
+        while hi < len(order) and (hi + 1 - lo) * len(pages[order[hi]]) <= CELLS:
+            hi += 1
+        part, lo = order[lo:hi], hi
         rows, cols, mask = _arrays([features(pages[k]) for k in part], index, False)
         emit = np.stack([np.bincount(rows, weights[cols, j], mask.size) for j in range(2)], axis=1).reshape(*mask.shape, 2)
         best = crf.viterbi(emit, mask, trans, begin)
@@ -215,9 +220,8 @@ def decode(pages: list[list[Block]], model: tuple) -> list[np.ndarray]:
 def _extract(model: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                b = whole.slice(lo, 512)
-                pages = [blocks(t) for t in b.column("html").to_pylist()]
+            for b in slices(whole, "html", 4_000_000):
+                pages = [blocks(t, model[0]) for t in b.column("html").to_pylist()]
                 texts = ["\n\n".join(x.text for x, y in zip(p, best, strict=True) if y) for p, best in zip(pages, decode(pages, model), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["rid", "page_id", "url", "text", "n_chars"])
 
@@ -229,7 +233,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     One row per input row, no shuffle. A null, empty or textless page has the text ''.
     Blocks of main text come in page order, white space inside of them as one space,
-    joined by two line ends.
+    joined by two line ends. A very long page takes time in proportion. Repeated rows
+    are so many rows, and an empty table gives none.
     """
     rows = with_rid(stored(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"))).select("rid", "page_id", "url", "html")
     return rows.mapInArrow(_extract(train()), "rid long, page_id long, url string, text string, n_chars long")

