@@ -56,24 +56,125 @@ def viterbi(emit: np.ndarray, mask: np.ndarray, trans: np.ndarray, begin: np.nda
     return out
 
 
-def two_state_marginals(gap: np.ndarray, mask: np.ndarray, trans: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """P(label 1) by position for two labels, from emission differences (n, length): scaled, without logarithms."""
-    n, length = gap.shape
-    odds = np.exp(np.clip(gap, -50, 50))
-    t = np.exp(trans - trans.max())
-    ratio = np.empty((n, length))  # alpha_1 / alpha_0
-    ratio[:, 0] = odds[:, 0] * np.exp(begin[1] - begin[0])
+def two_state_pairs(emit: np.ndarray, mask: np.ndarray, trans: np.ndarray, begin: np.ndarray):
+    """forward_backward() with pairs for two labels, scaled at each position in place of logarithms."""
+    n, length, _ = emit.shape
+    gap = np.clip(emit[:, :, 1] - emit[:, :, 0], -50, 50).T
+    odds = np.exp(np.ascontiguousarray(gap))
+    t = np.exp(np.clip(trans - trans.max(), -50, 0))
+    on = np.ascontiguousarray(mask.T)
+    p = np.empty((length, n))  # probability of label 1 given what came before
+    x = odds[0] * np.exp(np.clip(begin[1] - begin[0], -50, 50))
+    p[0] = x / (1 + x)
     for i in range(1, length):
-        r = ratio[:, i - 1]
-        ratio[:, i] = odds[:, i] * (t[0, 1] + r * t[1, 1]) / (t[0, 0] + r * t[1, 0])
-    out = np.empty((n, length))
-    b = np.ones(n)  # beta_1 / beta_0
+        zero, one = t[0, 0] + p[i - 1] * (t[1, 0] - t[0, 0]), odds[i] * (t[0, 1] + p[i - 1] * (t[1, 1] - t[0, 1]))
+        p[i] = np.where(on[i], one / (zero + one), p[i - 1])
+    out = np.empty((n, length, 2))
+    expected = np.zeros((2, 2))
+    q = np.full(n, 0.5)  # backward message of label 1, scaled to a sum of one
     for i in range(length - 1, -1, -1):
-        x = ratio[:, i] * b
-        out[:, i] = x / (1 + x)
-        y = odds[:, i] * b
-        b = np.where(mask[:, i], (t[1, 0] + t[1, 1] * y) / (t[0, 0] + t[0, 1] * y), 1.0)
-    return out * mask
+        one, zero = p[i] * q, (1 - p[i]) * (1 - q)
+        out[:, i, 1] = one / (one + zero)
+        if i:
+            a, b = (1 - q), odds[i] * q
+            w = np.stack([(1 - p[i - 1]) * t[0, 0] * a, (1 - p[i - 1]) * t[0, 1] * b, p[i - 1] * t[1, 0] * a, p[i - 1] * t[1, 1] * b])
+            expected += (w / w.sum(axis=0))[:, on[i]].sum(axis=1).reshape(2, 2)
+            zero, one = t[0, 0] * a + t[0, 1] * b, t[1, 0] * a + t[1, 1] * b
+            q = np.where(on[i], one / (zero + one), q)
+    out[:, :, 0] = 1 - out[:, :, 1]
+    return out * mask[:, :, None], None, expected
+
+
+def chain_marginals(gap: np.ndarray, first: np.ndarray, trans: np.ndarray, begin: np.ndarray, block: int = 32) -> np.ndarray:
+    """P(label 1) by position over whole chains of two labels laid end to end.
+
+    ``gap`` are emission differences, chain k is gap[first[k]:first[k+1]]. Chains are cut
+    into blocks whose 2 x 2 transfer matrices are multiplied up for all blocks at once;
+    messages then pass from block to block along each chain, for all chains at once, and
+    into the blocks again. So this is the forward-backward of the whole chain, exactly.
+    """
+    sizes = np.diff(first)
+    many = -(-sizes // block)
+    at_block = np.cumsum(many) - many
+    n = int(many.sum())
+    if not n:
+        return np.zeros(0)
+    chain = np.repeat(np.arange(len(sizes)), many)
+    number = np.arange(n) - at_block[chain]
+    start = first[chain] + number * block
+    size = np.minimum(block, first[chain + 1] - start)
+    odds = np.ones((block, n))
+    on = np.arange(block)[:, None] < size
+    flat = start + np.arange(block)[:, None]
+    odds[on] = np.exp(np.clip(gap, -50, 50))[flat[on]]
+    t = np.exp(np.clip(trans - trans.max(), -50, 0))
+    # transfer matrices of whole blocks: (a0, a1) before a block to after it, up to scale
+    m = np.zeros((2, 2, n))
+    m[0, 0] = m[1, 1] = 1
+    for i in range(block):
+        zero, one = t[0, 0] * m[0] + t[1, 0] * m[1], odds[i] * (t[0, 1] * m[0] + t[1, 1] * m[1])
+        scale = 1 / (zero + one).sum(axis=0)
+        m[0], m[1] = zero * scale, one * scale
+    # forward: probability of label 1 just before each block, chain by chain in step
+    p = np.empty((block, n))
+    opening = np.full(n, -1.0)
+    order = np.argsort(-many, kind="stable")  # chains with more blocks first
+    upto = np.searchsorted(-many[order], -np.arange(1, int(many.max()) + 1), side="right")  # chains with so many blocks
+
+    def enter(b: np.ndarray, lead: bool) -> np.ndarray:
+        """p at the first position of blocks ``b``."""
+        if lead:
+            x = odds[0, b] * np.exp(np.clip(begin[1] - begin[0], -50, 50))
+            return x / (1 + x)
+        zero, one = t[0, 0] + opening[b] * (t[1, 0] - t[0, 0]), odds[0, b] * (t[0, 1] + opening[b] * (t[1, 1] - t[0, 1]))
+        return one / (zero + one)
+
+    def onward(b: np.ndarray) -> None:
+        for i in range(1, block):
+            zero, one = t[0, 0] + p[i - 1, b] * (t[1, 0] - t[0, 0]), odds[i, b] * (t[0, 1] + p[i - 1, b] * (t[1, 1] - t[0, 1]))
+            p[i, b] = one / (zero + one)
+
+    lead = at_block[many > 0]
+    p[0, lead] = enter(lead, True)
+    onward(lead)
+    closing = p[block - 1].copy()
+    for k in range(1, len(upto)):
+        b = at_block[order[: upto[k]]] + k
+        opening[b] = closing[b - 1]
+        zero = m[0, 0, b] * (1 - opening[b]) + m[0, 1, b] * opening[b]
+        one = m[1, 0, b] * (1 - opening[b]) + m[1, 1, b] * opening[b]
+        closing[b] = one / (zero + one)
+    rest = np.flatnonzero(number > 0)
+    if len(rest):
+        p[0, rest] = enter(rest, False)
+        onward(rest)
+    # backward: message of label 1 just after each block, scaled to a sum of one
+    q = np.full(n, 0.5)
+    for k in range(len(upto) - 1, 0, -1):
+        b = at_block[order[: upto[k]]] + k
+        last = many[order[: upto[k]]] - 1 == k
+        b_full = b[~last]
+        zero = m[0, 0, b_full] * (1 - q[b_full]) + m[1, 0, b_full] * q[b_full]
+        one = m[0, 1, b_full] * (1 - q[b_full]) + m[1, 1, b_full] * q[b_full]
+        q[b_full - 1] = one / (zero + one)
+        b_last = b[last]
+        if len(b_last):
+            v = np.full(len(b_last), 0.5)
+            for i in range(block - 1, -1, -1):
+                a, c = 1 - v, odds[i, b_last] * v
+                zero, one = t[0, 0] * a + t[0, 1] * c, t[1, 0] * a + t[1, 1] * c
+                v = np.where(on[i, b_last], one / (zero + one), v)
+            q[b_last - 1] = v
+    out = np.empty((block, n))
+    for i in range(block - 1, -1, -1):
+        one, zero = p[i] * q, (1 - p[i]) * (1 - q)
+        out[i] = one / (one + zero)
+        a, c = 1 - q, odds[i] * q
+        zero, one = t[0, 0] * a + t[0, 1] * c, t[1, 0] * a + t[1, 1] * c
+        q = np.where(on[i], one / (zero + one), q)
+    result = np.empty(len(gap))
+    result[flat[on]] = out[on]
+    return result
 
 
 def train(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, mask: np.ndarray, n_features: int, k: int, rounds: int = 80, rate: float = 0.3, l2: float = 1e-4):
@@ -99,7 +200,7 @@ def train(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, mask: np.ndarr
     for step in range(1, rounds + 1):
         weights, trans, begin = w[:size].reshape(n_features, k), w[size : size + k * k].reshape(k, k), w[size + k * k :]
         emit = np.stack([np.bincount(rows, weights[cols, j], n * length) for j in range(k)], axis=1).reshape(n, length, k)
-        marginals, _, expected = forward_backward(emit, mask, trans, begin, pairs=True)
+        marginals, _, expected = two_state_pairs(emit, mask, trans, begin) if k == 2 else forward_backward(emit, mask, trans, begin, pairs=True)
         diff = gold - marginals.reshape(-1, k)
         grad = np.concatenate([
             np.stack([np.bincount(cols, diff[rows, j], n_features) for j in range(k)], axis=1).ravel(),
