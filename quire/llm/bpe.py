@@ -1,13 +1,15 @@
 """BPE encoding and decoding through a table of distinct words.
 
-1. Texts are split into the tokenizer's pre-tokens ("words") in chunks of whole
+1. Texts are split once into the tokenizer's pre-tokens ("words") in chunks of whole
    documents. A chunk keeps a vocabulary of its own, most frequent word first, and
-   each document becomes the positions' vocabulary numbers, packed.
+   each document becomes the positions' vocabulary numbers, packed. Both are written,
+   dealt by chunk.
 2. The chunks' vocabularies are dealt by word: all places that ask for a word meet in
    one task, whose table of distinct words encodes it once.
-3. The ids go back to the chunks that asked for them; every chunk joins them to its
-   documents by position, and ids to pieces through the id-to-piece table, which is
-   broadcast (it has as many rows as the vocabulary).
+3. The different ids of what a task encoded are joined to their pieces, a broadcast
+   join (the id-to-piece table has as many rows as the vocabulary).
+4. Ids and pieces go back to the chunks that asked for them; every chunk puts them to
+   its documents by position. The documents' rows don't move for that.
 
 A word is at most once in a chunk's vocabulary, so the commonest word comes to its task
 as often as there are chunks, and no more. A chunk is closed at CHUNK_CHARS characters,
@@ -24,15 +26,18 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import partitions, rows_of
+from quire.llm.common import materialise_by, partitions, rows_of
 
 CHUNK_CHARS = 24_000_000
+#: Words a task remembers with their ids; at more it begins anew.
+MEMO = 1_000_000
 #: Fixed values of the vocabulary: its special tokens and its pre-token pattern.
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 _SPECIAL = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
@@ -140,31 +145,35 @@ def _ranks(words: dict, docs: list) -> np.ndarray:
     return out
 
 
-def _vocabularies(sent, tasks: int):
+_SPLIT = "chunk long, task int, words string, ranks binary, rid long, doc_id long, numbers binary"
+
+
+def _split(sent, tasks: int):
+    """Rows of documents -> rows of chunks' vocabularies (words by task) and of documents (numbers)."""
+    kinds = {"chunk": pa.int64(), "task": pa.int32(), "words": pa.string(), "ranks": pa.binary(), "rid": pa.int64(), "doc_id": pa.int64(), "numbers": pa.binary()}
+
+    def rows(n: int, **cols) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(cols[c], t) if c in cols else pa.nulls(n, t) for c, t in kinds.items()], names=list(kinds))
+
     def run(batches):
         for chunk, words, docs in _chunks(batches, sent.value):
             rank = _ranks(words, docs)
             task = np.fromiter((zlib.crc32(w.encode()) % tasks for w in words), np.int64, len(words))
             order = np.argsort(task, kind="stable")
             ends = np.append(np.flatnonzero(np.diff(task[order])) + 1, len(order)) if len(order) else []
-            all_words, rows, lo = list(words), [], 0
+            all_words, lo = list(words), 0
+            of, lists, ranks = [], [], []
             for hi in ends:
                 at = order[lo:hi]
-                rows.append((chunk, int(task[at[0]]), "\n".join([all_words[k] for k in at]), pack(rank[at])))
+                of.append(int(task[at[0]]))
+                lists.append("\n".join([all_words[k] for k in at]))
+                ranks.append(pack(rank[at]))
                 lo = hi
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.binary()), strict=True)], names=["chunk", "task", "words", "numbers"])
-
-    return run
-
-
-def _numbers(sent):
-    def run(batches):
-        for chunk, words, docs in _chunks(batches, sent.value):
-            rank = _ranks(words, docs)
+            yield rows(len(of), chunk=[chunk] * len(of), task=of, words=lists, ranks=ranks)
+            del all_words, order, task
             for lo in range(0, len(docs), 2000):
                 part = docs[lo : lo + 2000]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.array([d[0] for d in part], pa.int64()), pa.array([d[1] for d in part], pa.int64()), pa.array([pack(rank[d[2]]) for d in part], pa.binary())], names=["chunk", "rid", "doc_id", "numbers"])
+                yield rows(len(part), chunk=[chunk] * len(part), rid=[d[0] for d in part], doc_id=[d[1] for d in part], numbers=[pack(rank[d[2]]) for d in part])
 
     return run
 
@@ -177,6 +186,8 @@ class WordTable:
         self.ids: dict[str, list[int]] = {"\0" + s: [self.tok.token_to_id(s)] for s in SPECIAL}
 
     def __call__(self, words: list[str]) -> list[list[int]]:
+        if len(self.ids) > MEMO:
+            self.ids = dict(islice(self.ids.items(), len(SPECIAL)))
         new = [w for w in dict.fromkeys(words) if w not in self.ids]
         for lo in range(0, len(new), 20_000):
             part = new[lo : lo + 20_000]
@@ -184,18 +195,24 @@ class WordTable:
         return [self.ids[w] for w in words]
 
 
+_ENCODED = "chunk long, ranks binary, counts binary, ids binary, id int"
+
+
 def _encode(sent):
-    """A task's share of the vocabularies -> for each chunk numbers, ids a word and ids."""
+    """A task's share of the vocabularies -> for each chunk ranks, ids a word and ids; and a row for each different id."""
 
     def run(batches):
         table = WordTable(sent.value)
         for b in batches:
-            counts, ids = [], []
-            for words in b.column("words").to_pylist():
+            for chunk, words, ranks in zip(*(b.column(c).to_pylist() for c in ("chunk", "words", "ranks")), strict=True):
                 found = table(words.split("\n"))
-                counts.append(np.fromiter(map(len, found), "<u4", len(found)).tobytes())
-                ids.append(np.array([i for x in found for i in x], "<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("chunk"), b.column("numbers"), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())], names=["chunk", "numbers", "counts", "ids"])
+                counts = pack(np.fromiter(map(len, found), np.int64, len(found)))
+                ids = np.array([i for x in found for i in x], np.int64)
+                each = np.unique(ids)
+                nothing = [None] * len(each)
+                cols = ([chunk] * (1 + len(each)), [ranks, *nothing], [counts, *nothing], [pack(ids), *nothing], [None, *each.tolist()])
+                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["chunk", "ranks", "counts", "ids", "id"])
 
     return run
 
@@ -209,14 +226,19 @@ def piece_table(text: str) -> list[str]:
     return out
 
 
-def _assemble(sent_pieces, whole: bool):
+def _pieces(spark, text: str) -> DataFrame:
+    """The same as a table to be broadcast: a row for each id of the vocabulary."""
+    return F.broadcast(spark.createDataFrame(pa.table({"id": pa.array(range(len(t := piece_table(text))), pa.int32()), "piece": pa.array(t, pa.string())})))
+
+
+def _assemble(whole: bool):
     names = ["rid", "doc_id", "n_tokens", *(("ids", "decoded") if whole else ("ids_sha256", "decoded_sha256"))]
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        pieces = sent_pieces.value
-        decimal = list(map(str, range(len(pieces))))
-        read = lambda c, of: np.concatenate([np.zeros(0, np.int64), *(of(x) for x in words.column(c).to_pylist())]).astype(np.int64)
-        number, count, flat = read("numbers", unpack), read("counts", lambda x: np.frombuffer(x, "<u4")), read("ids", lambda x: np.frombuffer(x, "<u4"))
+        read = lambda c: np.concatenate([np.zeros(0, np.int64), *(unpack(x) for x in words.column(c).to_pylist() if x is not None)])
+        number, count, flat = read("ranks"), read("counts"), read("ids")
+        piece = {i: p for i, p in zip(words.column("id").to_pylist(), words.column("piece").to_pylist(), strict=True) if i is not None}
+        decimal = dict(zip(piece, map(str, piece), strict=True))
         order = np.argsort(number)
         begin, count = (np.cumsum(count) - count)[order], count[order]
         out: list[tuple] = []
@@ -224,7 +246,7 @@ def _assemble(sent_pieces, whole: bool):
             a = unpack(data)
             c = count[a]
             ids = flat[np.repeat(begin[a] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))].tolist()
-            decoded = " ".join(map(pieces.__getitem__, ids))
+            decoded = " ".join(map(piece.__getitem__, ids))
             if whole:
                 out.append((len(ids), ids, decoded))
             else:
@@ -239,12 +261,13 @@ def _assemble(sent_pieces, whole: bool):
 def _run(docs: DataFrame, path: str | None, whole: bool, schema: str) -> DataFrame:
     spark = docs.sparkSession
     text = read(path or default_path())
-    sent, pieces = spark.sparkContext.broadcast(text), spark.sparkContext.broadcast(piece_table(text))
-    rows, tasks = rows_of(docs, "text"), partitions(spark)
-    vocab = rows.mapInArrow(_vocabularies(sent, tasks), "chunk long, task int, words string, numbers binary")
-    encoded = vocab.repartition(tasks, "task").mapInArrow(_encode(sent), "chunk long, numbers binary, counts binary, ids binary")
-    numbers = rows.mapInArrow(_numbers(sent), "chunk long, rid long, doc_id long, numbers binary")
-    return numbers.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(_assemble(pieces, whole), schema)
+    sent, tasks = spark.sparkContext.broadcast(text), partitions(spark)
+    parts = materialise_by(rows_of(docs, "text").mapInArrow(_split(sent, tasks), _SPLIT), "chunk", "split-texts")
+    vocab = parts.where("task is not null").select("chunk", "task", "words", "ranks")
+    encoded = vocab.repartition(tasks, "task").mapInArrow(_encode(sent), _ENCODED)
+    decoded = encoded.join(_pieces(spark, text), "id", "left").select("chunk", "ranks", "counts", "ids", "id", "piece")
+    numbers = parts.where("rid is not null").select("chunk", "rid", "doc_id", "numbers")
+    return numbers.groupBy("chunk").cogroup(decoded.groupBy("chunk")).applyInArrow(_assemble(whole), schema)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -253,7 +276,8 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     Ids as the tokenizers library gives without special tokens added, decoded text as
     its decode() gives with special tokens kept. A null or empty text has no tokens
     and decodes to ''. Special tokens written out in a text are found as the library
-    finds them. Rows stay apart even if they are equal.
+    finds them. Rows stay apart even if they are equal. A very long text makes a chunk
+    by itself. An empty table gives no rows.
     """
     return _run(docs, path, True, "rid long, doc_id long, n_tokens long, ids array<int>, decoded string")
 
@@ -263,9 +287,8 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
 
     Ids that are null or not in the vocabulary have no piece; null and empty lists decode to ''.
     """
-    spark = rows.sparkSession
-    table = spark.createDataFrame(list(enumerate(piece_table(read(path or default_path())))), "id int, piece string")
-    at = rows.select("rid", F.posexplode_outer("ids").alias("pos", "id")).join(F.broadcast(table), "id", "left")  # bounded by the vocabulary
+    pieces = _pieces(rows.sparkSession, read(path or default_path()))
+    at = rows.select("rid", F.posexplode_outer("ids").alias("pos", "id")).join(pieces, "id", "left")
     got = at.groupBy("rid").agg(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("pos", "piece")))).alias("at"))
     return got.select("rid", F.array_join(F.transform("at", lambda x: x["piece"]), " ").alias("decoded"))
 

@@ -50,7 +50,7 @@ def lower(text: str) -> str:
     return out if len(out) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def _parts(word: str) -> list[str]:
     """Features of a word by itself: the word, its beginnings, its ending."""
     return ["w" + word, *(f"{k}{word[:k]}" for k in (3, 4, 5, 6) if len(word) > k), "e" + word[-3:]]
