@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: A word of the corpus contracts: a run of anything but space and \t..\r.
-WORD = r"[^\x20\x09-\x0D]+"
+#: White space of the corpus contracts: a word is a run of anything else.
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
