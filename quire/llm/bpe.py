@@ -6,10 +6,10 @@
    dealt by chunk.
 2. The chunks' vocabularies are dealt by word: all places that ask for a word meet in
    one task, whose table of distinct words encodes it once.
-3. The different ids of what a task encoded are joined to their pieces, a broadcast
-   join (the id-to-piece table has as many rows as the vocabulary).
-4. Ids and pieces go back to the chunks that asked for them; every chunk puts them to
-   its documents by position. The documents' rows don't move for that.
+3. The ids go back to the chunks that asked for them; every chunk puts them to its
+   documents by position. The documents' rows don't move for that.
+4. A chunk's different ids are joined to their pieces: the id-to-piece table has as many
+   rows as the vocabulary, it is sent to all tasks and the join is theirs, in Arrow.
 
 A word is at most once in a chunk's vocabulary, so the commonest word comes to its task
 as often as there are chunks, and no more. A chunk is closed at CHUNK_CHARS characters,
@@ -195,11 +195,11 @@ class WordTable:
         return [self.ids[w] for w in words]
 
 
-_ENCODED = "chunk long, ranks binary, counts binary, ids binary, id int"
+_ENCODED = "chunk long, ranks binary, counts binary, ids binary"
 
 
 def _encode(sent):
-    """A task's share of the vocabularies -> for each chunk ranks, ids a word and ids; and a row for each different id."""
+    """A task's share of the vocabularies -> for each chunk ranks, ids a word and ids."""
 
     def run(batches):
         table = WordTable(sent.value)
@@ -207,12 +207,8 @@ def _encode(sent):
             for chunk, words, ranks in zip(*(b.column(c).to_pylist() for c in ("chunk", "words", "ranks")), strict=True):
                 found = table(words.split("\n"))
                 counts = pack(np.fromiter(map(len, found), np.int64, len(found)))
-                ids = np.array([i for x in found for i in x], np.int64)
-                each = np.unique(ids)
-                nothing = [None] * len(each)
-                cols = ([chunk] * (1 + len(each)), [ranks, *nothing], [counts, *nothing], [pack(ids), *nothing], [None, *each.tolist()])
-                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["chunk", "ranks", "counts", "ids", "id"])
+                ids = pack(np.array([i for x in found for i in x], np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), *(pa.array([x], pa.binary()) for x in (ranks, counts, ids))], names=["chunk", "ranks", "counts", "ids"])
 
     return run
 
@@ -226,18 +222,20 @@ def piece_table(text: str) -> list[str]:
     return out
 
 
-def _pieces(spark, text: str) -> DataFrame:
-    """The same as a table to be broadcast: a row for each id of the vocabulary."""
-    return F.broadcast(spark.createDataFrame(pa.table({"id": pa.array(range(len(t := piece_table(text))), pa.int32()), "piece": pa.array(t, pa.string())})))
+def _pieces(text: str) -> pa.Table:
+    """The same as a table: a row for each id of the vocabulary."""
+    pieces = piece_table(text)
+    return pa.table({"id": pa.array(range(len(pieces)), pa.int64()), "piece": pa.array(pieces, pa.string())})
 
 
-def _assemble(whole: bool):
+def _assemble(sent_pieces, whole: bool):
     names = ["rid", "doc_id", "n_tokens", *(("ids", "decoded") if whole else ("ids_sha256", "decoded_sha256"))]
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         read = lambda c: np.concatenate([np.zeros(0, np.int64), *(unpack(x) for x in words.column(c).to_pylist() if x is not None)])
         number, count, flat = read("ranks"), read("counts"), read("ids")
-        piece = {i: p for i, p in zip(words.column("id").to_pylist(), words.column("piece").to_pylist(), strict=True) if i is not None}
+        joined = pa.table({"id": np.unique(flat)}).join(sent_pieces.value, "id", join_type="inner", use_threads=False)
+        piece = dict(zip(joined.column("id").to_pylist(), joined.column("piece").to_pylist(), strict=True))
         decimal = dict(zip(piece, map(str, piece), strict=True))
         order = np.argsort(number)
         begin, count = (np.cumsum(count) - count)[order], count[order]
@@ -261,13 +259,12 @@ def _assemble(whole: bool):
 def _run(docs: DataFrame, path: str | None, whole: bool, schema: str) -> DataFrame:
     spark = docs.sparkSession
     text = read(path or default_path())
-    sent, tasks = spark.sparkContext.broadcast(text), partitions(spark)
+    sent, pieces, tasks = spark.sparkContext.broadcast(text), spark.sparkContext.broadcast(_pieces(text)), partitions(spark)
     parts = materialise_by(rows_of(docs, "text").mapInArrow(_split(sent, tasks), _SPLIT), "chunk", "split-texts")
     vocab = parts.where("task is not null").select("chunk", "task", "words", "ranks")
     encoded = vocab.repartition(tasks, "task").mapInArrow(_encode(sent), _ENCODED)
-    decoded = encoded.join(_pieces(spark, text), "id", "left").select("chunk", "ranks", "counts", "ids", "id", "piece")
     numbers = parts.where("rid is not null").select("chunk", "rid", "doc_id", "numbers")
-    return numbers.groupBy("chunk").cogroup(decoded.groupBy("chunk")).applyInArrow(_assemble(whole), schema)
+    return numbers.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(_assemble(pieces, whole), schema)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -287,8 +284,8 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
 
     Ids that are null or not in the vocabulary have no piece; null and empty lists decode to ''.
     """
-    pieces = _pieces(rows.sparkSession, read(path or default_path()))
-    at = rows.select("rid", F.posexplode_outer("ids").alias("pos", "id")).join(pieces, "id", "left")
+    pieces = rows.sparkSession.createDataFrame(_pieces(read(path or default_path())))
+    at = rows.select("rid", F.posexplode_outer("ids").alias("pos", "id")).join(F.broadcast(pieces), "id", "left")  # bounded by the vocabulary
     got = at.groupBy("rid").agg(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("pos", "piece")))).alias("at"))
     return got.select("rid", F.array_join(F.transform("at", lambda x: x["piece"]), " ").alias("decoded"))
 
