@@ -40,7 +40,7 @@ LENGTH = 200
 GRAM = 32
 #: Bytes of segments in one suffix array, and segments of one anchor in one shard.
 SHARD_BYTES = 4_000_000
-SHARD_SEGMENTS = 4096
+SHARD_SEGMENTS = 512
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
 _U = np.uint64
 
