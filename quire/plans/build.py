@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import display_title
-from quire.operators import cleaning, compose, headings, spine, toc
+from quire.operators import cleaning, compose, headings, openers, spine, toc
 from quire.plans.dag import Plan, Stage
 from quire.sources import html
 
@@ -22,7 +22,17 @@ def _clean(o: dict[str, Any]) -> dict[str, Any]:
     kept = o["docs"].where("not remove").select("book", "doc_index", "kind", "major_title")
     raw = o["pages"].select(F.expr(f"page_id div {o['per_book']}").alias("book"), (F.col("page_id") % o["per_book"]).alias("doc_index"), "html")
     rows, audit = cleaning.clean(html.blocks(raw.join(kept, ["book", "doc_index"], "left_semi")))
-    return {"blocks": rows, "audit": audit}
+    return {"blocks": openers.merge_preformatted(rows), "audit": audit}
+
+
+def _open(o: dict[str, Any]) -> dict[str, Any]:
+    """Titles said again go, openers that no heading gives come. Reads the blocks four times, so a cache should hold them."""
+    rows, docs = o["blocks"], spine.carry_forward(o["docs"]).where("not remove").select("book", "doc_index", "kind", "major_title", "current_work")
+    again = openers.repeated_titles(rows, docs)
+    audit = o["audit"].unionByName(again.select("book", "doc_index", "block_no", F.lit("Removed duplicate current-work title line").alias("reason"), F.substring("text", 1, 220).alias("sample")))
+    rows = rows.join(again.select("book", "doc_index", "block_no"), ["book", "doc_index", "block_no"], "left_anti").select(*rows.columns)
+    new = openers.synthetic_openers(rows, docs).unionByName(openers.front_openers(rows, docs))
+    return {"blocks": openers.with_openers(rows, new), "audit": audit}
 
 
 def _fold(o: dict[str, Any]) -> dict[str, Any]:
@@ -44,16 +54,18 @@ def _compose(o: dict[str, Any]) -> dict[str, Any]:
     return {"fragments": fragments, "entries": entries, "books": compose.compose(fragments, books, contents)}
 
 
-def plan() -> Plan:
-    """Stages over pages (page_id, url, html); books are ``per_book`` pages each."""
+def plan(openers_too: bool = False) -> Plan:
+    """Stages over pages (page_id, url, html); books are ``per_book`` pages each. ``openers_too`` adds the stage that makes missing openers."""
     out = Plan()
     out.add(Stage("scan", _scan))
     out.add(Stage("clean", _clean, ("scan",)))
-    out.add(Stage("fold", _fold, ("clean",)))
+    if openers_too:
+        out.add(Stage("openers", _open, ("clean",)))
+    out.add(Stage("fold", _fold, ("openers" if openers_too else "clean",)))
     out.add(Stage("compose", _compose, ("fold",)))
     return out
 
 
-def build(pages: DataFrame, per_book: int = 10) -> dict[str, Any]:
+def build(pages: DataFrame, per_book: int = 10, openers_too: bool = False) -> dict[str, Any]:
     """All outputs by name: docs, blocks, audit, folded, marked, fragments, entries, books."""
-    return plan().run({"pages": pages, "per_book": per_book})
+    return plan(openers_too).run({"pages": pages, "per_book": per_book})

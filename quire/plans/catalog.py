@@ -28,6 +28,20 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 c, q = F.col, duck.q
+
+
+def _split_select(items: str) -> list[str]:
+    """The expressions of a select list, parted at commas outside of parentheses."""
+    out, depth = [""], 0
+    for ch in items:
+        depth += (ch == "(") - (ch == ")")
+        if ch == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += ch
+    return out
+
+
 SO_FAR = "(partition by book order by doc_index rows between unbounded preceding and 1 preceding)"
 
 # ---------------------------------------------------------------- scalar functions
@@ -53,7 +67,7 @@ def q_slugify(spark, d):
     return tables.read(spark, d, "part").select("p_partkey", text.slugify(c("p_name")).alias("slug"))
 
 
-@query(f"""with s as (select p_partkey, {duck.slug("substr(p_name, 1, 12)", "book")} as slug, p_name from part)
+@query(f"""with s as (select p_partkey, {duck.slug("p_name", "book")} as slug, p_name from part)
 select p_partkey, slug || case when n > 1 then '-' || n else '' end || '.pdf' as output
 from (select *, row_number() over (partition by slug order by lower(p_name || '/' || lpad(p_partkey::varchar, 9, '0'))) as n from s)""")
 def q_batch_names(spark, d):
@@ -61,7 +75,7 @@ def q_batch_names(spark, d):
     return identity.batch_names(part).select("p_partkey", "output")
 
 
-@query(f"select lang, key, min(doc_id) as first_doc, count(*) as n from (select doc_id, lang, {duck.key('substr(text, 1, 60)')} as key from documents) where key <> '' group by lang, key")
+@query(f"select lang, key, min(doc_id) as first_doc, count(*) as n from (select doc_id, lang, {duck.key('text')} as key from documents) where key <> '' group by lang, key")
 def q_title_key_dedup(spark, d):
     rows = tables.read(spark, d, "documents").select("doc_id", "lang", text.title_key(c("text")).alias("key")).where("key <> ''")
     return rows.groupBy("lang", "key").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
@@ -84,13 +98,19 @@ def q_toc_title_case(spark, d):
     return tables.read(spark, d, "part").selectExpr("p_partkey", f"{_MIXED} as t").select("p_partkey", text.title_case(c("t")).alias("title"))
 
 
-_AUTHORS = [("Tolstoy, Leo, graf", "Leo Tolstoy"), ("Sir Walter Scott", "Walter Scott"), ("  Jane   Austen ", "Jane Austen"), ("", ""), ("Byron, George, Lord, Baron", "George Byron"), ("Count", "Count"), ("Lady, Dame", "Lady"), ("Doyle, Arthur Conan, Esq", "Arthur Conan Esq Doyle")]
+_NAMED = "case p_partkey % 6 when 0 then replace(p_name, ' ', ', ') when 1 then 'Sir ' || p_name when 2 then p_name || ', Leo, Graf., Arthur' when 3 then ' ; ' || p_name || ' ,' when 4 then 'Count' else 'Lady, Dame' end"
 
 
-@query(f"select * from {duck.values(_AUTHORS, 'name, author')}")
+def _noble(w: str) -> str:
+    return f"regexp_replace(lower({w}), '^\\.+|\\.+$', '', 'g') in ({', '.join(map(q, text.NOBLE))})"
+
+
+@query(f"""with b as (select p_partkey, regexp_replace({duck.clean(_NAMED)}, '^[ ,;]+|[ ,;]+$', '', 'g') as bare from part),
+p as (select *, list_filter(list_transform(string_split(bare, ','), lambda x: trim(x)), lambda x: x <> '') as parts from b),
+w as (select p_partkey, list_filter(string_split({duck.clean(f"case when len(parts) >= 2 then array_to_string(list_concat(parts[2:2], list_filter(parts[3:], lambda x: not ({_noble('x')})), parts[1:1]), ' ') else bare end")}, ' '), lambda x: x <> '') as ws from p)
+select p_partkey, array_to_string(ws[coalesce(nullif(list_position(list_transform(ws, lambda x: {_noble('x')}), false), 0), len(ws)):], ' ') as author from w""")
 def q_author_names(spark, d):
-    rows = spark.createDataFrame([(a,) for a, _ in _AUTHORS], "name string")
-    return rows.select("name", text.author_name(c("name")).alias("author"))
+    return tables.read(spark, d, "part").select("p_partkey", text.author_name(F.expr(_NAMED)).alias("author"))
 
 
 _TRIMS = [("A5 landscape", 595.28, 419.53, "A5 landscape"), ("A4", 595.28, 841.89, "A4"), ("letter", 612.0, 792.0, "letter"), ("6in x 9in", 432.0, 648.0, "6in x 9in"), ("10cm 20cm", 283.46, 566.93, "10cm 20cm"), ("what", 595.28, 841.89, "A4"), ("legal portrait", 612.0, 1008.0, "legal portrait"), ("", 595.28, 841.89, "A4")]
@@ -110,13 +130,15 @@ def q_css_lengths(spark, d):
     return spark.createDataFrame([(x,) for x in _LENGTHS], "s string").select("s", F.round(text.css_points(c("s")), 6).alias("points"))
 
 
-_COLORS = [("#222", 0.133333, 0.133333, 0.133333), ("#ff8000", 1.0, 0.501961, 0.0), ("abc", 0.666667, 0.733333, 0.8), ("#12", 0.0, 0.0, 0.0), ("#gggggg", 0.0, 0.0, 0.0), ("", 0.0, 0.0, 0.0)]
+_COLOR = "case p_partkey % 5 when 0 then '#' || {h} when 1 then substr({h}, 1, 3) when 2 then '#' || substr({h}, 1, 5) when 3 then ' ##' || {h} || ' ' else 'g' || substr({h}, 1, 5) end"
+_HEX = "(case when regexp_matches(s, '^[0-9A-Fa-f]{{6}}$') then ('0x' || substr(s, {k}, 2))::bigint / 255.0 else 0.0 end)"
+_LONG = "(select p_partkey, case when length(s) = 3 then regexp_replace(s, '(.)', '\\1\\1', 'g') else s end as s from (select p_partkey, regexp_replace(trim(" + _COLOR.format(h="printf('%06x', p_partkey * 7919 % 16777216)") + "), '^#+', '') as s from part))"
 
 
-@query(f"select * from {duck.values(_COLORS, 'color, r, g, b')}")
+@query(f"select p_partkey, round({_HEX.format(k=1)}, 6)::double as r, round({_HEX.format(k=3)}, 6)::double as g, round({_HEX.format(k=5)}, 6)::double as b from {_LONG}")
 def q_hex_color(spark, d):
-    rows = spark.createDataFrame([(x[0],) for x in _COLORS], "color string").withColumn("x", text.hex_color(c("color")))
-    return rows.select("color", *(F.round(f"x.{k}", 6).alias(k) for k in "rgb"))
+    rows = tables.read(spark, d, "part").select("p_partkey", text.hex_color(F.expr(_COLOR.format(h="format_string('%06x', p_partkey * 7919 % 16777216)"))).alias("x"))
+    return rows.select("p_partkey", *(F.round(f"x.{k}", 6).alias(k) for k in "rgb"))
 
 
 _SRCS = [("../img/a%20b.png#x", "text/ch1.html", "img/a b.png"), ("a+b.png", "ch.html", "a+b.png"), ("", "x/y.html", ""), ("./c/../d.jpg", "x/y.html", "x/d.jpg"), ("/abs/e.png", "x/y.html", "/abs/e.png"), ("../../f.png", "x/y.html", "../f.png")]
@@ -319,40 +341,38 @@ def q_stage_directions(spark, d):
     return blocks.stage_directions(tables.lines(spark, d).selectExpr("book", "line_no", f"{_BRACKET} as text"))
 
 
-_TYPED = [("wait...  so--called", "wait… so—called"), ("a--b--c", "a—b—c"), ("end --  then", "end — then"), ("x\u00a0y\tz", "x y z"), ("no change", "no change")]
+_RAW = "case line_no % 5 when 0 then replace(text, ' ', '--') when 1 then replace(text, ' ', '  -- ') when 2 then replace(text, ' ', '... ') when 3 then replace(text, ' ', ' b.c. ') else 'At 5 A.M. ' || replace(text, ' ', ', BCE; ') end"
+_TYPED = f"regexp_replace(replace(regexp_replace({_RAW}, '[ ]+', ' ', 'g'), '...', '…'), '\\s+--\\s+', ' — ', 'g')"
+for _ in range(2):
+    _TYPED = f"regexp_replace({_TYPED}, '([{text.W}])--([{text.W}])', '\\1—\\2', 'g')"
+_ABBREVIATED = "[Aa]\\.?[Mm]|[Pp]\\.?[Mm]|[Bb]\\.?[Cc]|[Aa]\\.?[Dd]|[Bb][Cc][Ee]|[Cc][Ee]|[Nn]\\.?[Bb]|[Pp]\\.?[Ss]"
 
 
-@query(f"select * from {duck.values(_TYPED, 'raw, fixed')}")
+@query(f"select book, line_no, {_TYPED} as fixed from {DUCK_LINES}")
 def q_typography(spark, d):
-    return spark.createDataFrame([(a,) for a, _ in _TYPED], "raw string").select("raw", text.typography(c("raw")).alias("fixed"))
-
-
-_CAPS = [("at 5 A.M. sharp", 'at 5 <span class="small-caps">A.M</span>. sharp'), ("in 44 BC, he", 'in 44 <span class="small-caps">BC</span>, he'), ("BCE", "BCE"), ("PS: nb. amid", '<span class="small-caps">PS</span>: <span class="small-caps">nb</span>. amid'), ("plain text", "plain text")]
+    return tables.lines(spark, d).select("book", "line_no", text.typography(F.expr(_RAW)).alias("fixed"))
 
 
-@query(f"select * from {duck.values(_CAPS, 'raw, marked')}")
+@query(f"""select book, line_no, regexp_replace({_RAW}, '(^|[^{text.W}])({_ABBREVIATED})([\\s.,;:])', '\\1<span class="small-caps">\\2</span>\\3', 'g') as marked from {DUCK_LINES}""")
 def q_small_caps(spark, d):
-    return spark.createDataFrame([(a,) for a, _ in _CAPS], "raw string").select("raw", text.small_caps(c("raw")).alias("marked"))
+    return tables.lines(spark, d).select("book", "line_no", text.small_caps(F.expr(_RAW)).alias("marked"))
 
 
-_IMAGES = [
-    # policy, src, alt, context, width, height, standalone, decision, confidence, keep
-    ("functional", "map1.png", "", "the map", None, None, True, None, None, True),
-    ("functional", "x9.png", "", "a dog", None, None, False, None, None, False),
-    ("keep-all", "cover.jpg", "", "", None, None, True, None, None, True),
-    ("remove-all", "map.png", "", "map", None, None, False, None, None, False),
-    ("functional", "img_12.jpg", "", "", 100.0, 50.0, True, True, 0.9, False),
-    ("functional", "photo.jpg", "", "portrait of a man", None, None, False, True, 0.9, False),
-    ("functional", "x9.png", "", "a dog", None, None, False, True, 0.9, True),
-    ("functional", "x9.png", "", "a dog", None, None, False, True, 0.6, False),
-]
+_PICTURE = """p_partkey, case p_partkey % 7 when 0 then 'keep-all' when 1 then 'remove-all' else 'functional' end as policy, case p_partkey % 11 when 10 then 'IMG_1.jpg' else '' end as alt,
+ case p_partkey % 5 when 0 then 'art/map' when 1 then 'img_' when 2 then 'x' when 3 then 'frontispiece' else 'photo' end || case when p_partkey % 5 = 3 then '' else cast(p_size as {s}) end || '.png' as src,
+ case p_size % 4 when 0 then '' when 1 then 'the map' when 2 then 'a dog' else 'portrait of a man' end as context, case when p_partkey % 3 = 0 then p_size * 20.0 end as width, case when p_partkey % 3 = 0 then p_size * 9.0 end as height,
+ p_partkey % 2 = 0 as standalone, case when p_size % 3 < 2 then p_size % 3 = 0 end as decision, case when p_size % 3 < 2 then (p_partkey % 10) / 10.0 end as confidence"""
+_GENERIC = f"(regexp_matches(regexp_extract({duck.clean('alt')}, '([^/]*)$', 1), {q('(?i)' + blocks.IMAGE_FILE)}) or regexp_matches(regexp_extract({duck.clean('src')}, '([^/]*)$', 1), {q('(?i)' + blocks.IMAGE_FILE)}))"
+_BESIDE = duck.clean("src || ' ' || context")
+_FUNCTION = f"({duck.test(_BESIDE, 'functional_image')} or {duck.test('lower(src)', 'functional_image_src')})"
+_PLATE = f"({duck.test(_BESIDE, 'plate_caption')} or {duck.test('lower(src)', 'publisher_image_src')})"
 
 
-@query(f"select src, context, policy, keep from {duck.values([(x[1], x[3], x[0], x[9]) for x in _IMAGES], 'src, context, policy, keep')}")
+@query(f"""select p_partkey, case policy when 'keep-all' then true when 'remove-all' then false else case when {_GENERIC} and standalone and (coalesce(width <= 280 and height <= 140, false) or context = '') then false
+ when {_PLATE} and not {_FUNCTION} then false when coalesce(confidence >= 0.7, false) then decision else {_FUNCTION} end end as keep from (select {_PICTURE.format(s='varchar')} from part)""")
 def q_image_decisions(spark, d):
-    rows = spark.createDataFrame([x[:9] for x in _IMAGES], "policy string, src string, alt string, context string, width double, height double, standalone boolean, decision boolean, confidence double")
-    keep = blocks.keep_image(c("policy"), c("src"), c("alt"), c("context"), c("width"), c("height"), c("standalone"), c("decision"), c("confidence"))
-    return rows.select("src", "context", "policy", keep.alias("keep"))
+    rows = tables.read(spark, d, "part").selectExpr(*(x.strip() for x in _split_select(_PICTURE.format(s="string"))))
+    return rows.select("p_partkey", blocks.keep_image(*(c(n) for n in ("policy", "src", "alt", "context", "width", "height", "standalone", "decision", "confidence"))).alias("keep"))
 
 
 # ---------------------------------------------------------------- contents
@@ -386,14 +406,15 @@ def q_toc_duplicates(spark, d):
     return toc.duplicates(tables.lines(spark, d).selectExpr("book", f"{_LEADERS} as line"))
 
 
-_LINKS = [(1, 2, 100.0, 10.0, "a", 9), (1, 2, 120.0, 10.0, "b", 11), (1, 3, 90.0, 10.0, "a", 40), (1, 2, 50.0, 5.0, "z", 7), (2, 1, 10.0, 0.0, "c", 6), (2, 1, 20.0, 0.0, "d", 4)]
-_PAGES = [(1, "a", 1), (1, "b", 3), (2, "c", 3), (2, "d", 1)]
+_LINKS = "l_orderkey % 40 as book, l_linenumber as page, l_quantity as y, l_orderkey * 10 + l_linenumber as x, 't' || cast(l_suppkey % 5 as {s}) as target_id, 5 + l_partkey % 30 as target_page"
 
 
-@query(f"select * from {duck.values(_PAGES, 'book, target_id, page_no')}")
+@query(f"""with l as (select {_LINKS.format(s='varchar')} from lineitem), f as (select book, target_id, target_page as first from (select *, row_number() over (partition by book, target_id order by page, y, x) as k from l where target_id <> 't4') where k = 1)
+select book, target_id, greatest(1, first - case when book % 2 = 0 then 9 + book % 5 else min(first) over (partition by book) end + 1)::bigint as page_no from f""")
 def q_toc_pages(spark, d):
-    links = spark.createDataFrame(_LINKS, "book long, page long, y double, x double, target_id string, target_page long")
-    return toc.page_numbers(links, spark.createDataFrame([(b, t) for b, t, _ in _PAGES], "book long, target_id string"), spark.createDataFrame([(1, 9)], "book long, first_page long"))
+    links = tables.read(spark, d, "lineitem").selectExpr(*_split_select(_LINKS.format(s="string")))
+    entries = links.where("target_id <> 't4'").select("book", "target_id").distinct()
+    return toc.page_numbers(links, entries, links.where("book % 2 = 0").select("book", (9 + c("book") % 5).alias("first_page")).distinct())
 
 
 @query(f"""select book, '<ol class="toc-list toc-simple">' || chr(10) || string_agg('<li class="toc-level-1 toc-kind-' || kind || '"><a href="#' || target_id || '">' || {duck.escape(duck.title_case(duck.display('title')))} || '</a></li>', chr(10) order by seq) || chr(10) || '</ol>' as html from {_USABLE} group by book""")
@@ -565,13 +586,13 @@ def q_pattern_merge(spark, d):
     return registry.table(spark)
 
 
-_BUMPS = [(7.0, 2.0, 14.0, 9.0), (13.0, 2.0, 14.0, 14.0), (14.0, 2.0, 14.0, 14.0), (1.23, 0.025, 1.32, 1.255), (1.31, 0.025, 1.32, 1.32)]
+_BUMP = "p_size / 4.0 as old, (p_partkey % 5) * 0.125 as step, (p_partkey % 7) * 2.0 as most"
 
 
-@query(f"select * from {duck.values(_BUMPS, 'old, step, most, new')}")
+@query(f"select p_partkey, case when least(most, round(old + step, 3)) > old + 0.0001 then least(most, round(old + step, 3)) else old end::double as new from (select p_partkey, {_BUMP} from part)")
 def q_autofix(spark, d):
-    rows = spark.createDataFrame([x[:3] for x in _BUMPS], "old double, step double, most double")
-    return rows.select("old", "step", "most", settings.bump(c("old"), c("step"), c("most")).alias("new"))
+    rows = tables.read(spark, d, "part").selectExpr("p_partkey", *_split_select(_BUMP))
+    return rows.select("p_partkey", settings.bump(c("old").cast("double"), c("step").cast("double"), c("most").cast("double")).alias("new"))
 
 
 _STATUS = "case user_id % 5 when 0 then 'failed' when 1 then 'skipped' else 'succeeded' end"
