@@ -167,12 +167,15 @@ def _flat(x: str) -> str:
 DUCK_PROBE = f"""(select page_id // 10 as book, page_id % 10 as doc_index, url as name, lower(regexp_extract(h, {q(spine.HEADING)}, 1)) as tag,
  coalesce(hs[1], '') as heading, len(hs)::bigint as n_headings, len(list_filter(hs, lambda t: {duck.found('t', spine.LICENSE_HEADING)}))::bigint as license_headings,
  text, length(text)::bigint as n_chars, {duck.words('text')} as n_words, {duck.count('lower(h)', '<a[ >]')}::bigint as links, {duck.count('lower(h)', '<img[ >/]')}::bigint as images,
- regexp_matches(array_to_string(list_transform(list_transform(ps, lambda p: {_flat("'<p>' || p")}), lambda t: case when t = '' then '' when length(t) between 2 and 64 and not ends_with(t, '.') then 's' else 'x' end), ''), 's{{6}}')
-  or len(list_filter(ps, lambda p: {duck.count('lower(p)', '<br')} >= 2 and length({_flat('p')}) < 1600)) >= 2 as poetry,
+ regexp_matches(array_to_string(list_transform(list_transform(ps[1:200], lambda p: {_flat("'<p>' || p")}), lambda t: case when t = '' then '' when length(t) between 2 and 64 and not ends_with(t, '.') then 's' else 'x' end), ''), 's{{6}}')
+  or {duck.test("array_to_string(classes, ' ')", 'poetry_class')}
+  or len(list_filter(ps, lambda p: {duck.count('lower(p)', '<br')} >= 2 and length({_flat('p')}) < 1600)) + len(list_filter(divs, lambda p: {duck.count('lower(p)', '<br[^a-z0-9]')} >= 2 and length({_flat('p')}) < 1600)) >= 2 as poetry,
  len(list_filter(hs, lambda t: {duck.test('t', 'cast', 'match')})) > 0 as drama
- from (select *, list_filter(list_transform(regexp_extract_all(h, {q(spine.HEADING)}, 2), lambda x: {_flat('x')}), lambda t: t <> '') as hs,
-  list_transform(string_split_regex(h, '(?i)<p[ >]')[2:201], lambda p: string_split(p, '</p>')[1]) as ps, {_flat('h')} as text
-  from (select page_id, url, {_H} as h from pages)))"""
+ from (select *, list_transform(regexp_extract_all(h, '(?s)<[a-zA-Z][^>]*>')[1:500], lambda t: regexp_extract(t, {q(spine.CLASS)}, 1)) as classes,
+  list_transform(list_filter(range(2, len(parts) + 1), lambda i: starts_with(parts[i], '<div')), lambda i: array_to_string(parts[i:coalesce(list_filter(range(i + 1, len(parts) + 1), lambda j: depths[j] < depths[i])[1] - 1, len(parts))], '')) as divs, list_filter(list_transform(regexp_extract_all(h, {q(spine.HEADING)}, 2), lambda x: {_flat('x')}), lambda t: t <> '') as hs,
+  list_transform(string_split_regex(h, '(?i)<p[ >]')[2:], lambda p: string_split(p, '</p>')[1]) as ps, {_flat('h')} as text
+  from (select *, list_transform(range(1, len(parts) + 1), lambda i: coalesce(list_sum(list_transform(parts[2:i], lambda x: case when starts_with(x, '<div') then 1 else -1 end)), 0)) as depths
+   from (select *, string_split(regexp_replace(h, '(?i)<(/?)div([^a-z0-9])', chr(1) || '<\\1div\\2', 'g'), chr(1)) as parts from (select page_id, url, {_H} as h from pages)))))"""
 
 
 @query(f"select book, doc_index, tag, heading, n_headings, n_chars, n_words, links, images, poetry, drama from {DUCK_PROBE}")

@@ -1,6 +1,7 @@
 """Work that goes over whole inputs: what lies beyond an old cut counts."""
 
-from quire.llm import topk, toxicity
+import duckdb
+
 from quire.operators import spine
 from quire.plans import catalog
 
@@ -25,6 +26,12 @@ def test_verse_anywhere(spark):
     got = {r.doc_index: r for r in spine.classify(spine.probe(df, 100)).collect()}
     assert [got[k].poetry for k in range(len(pages))] == [True, True, True, True, False, False, True, False, False, True, False]
     assert [got[k].kind for k in (0, 1, 6)] == ["poetry"] * 3
+    twin = duckdb.connect()
+    twin.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    twin.executemany("insert into pages values (?, 'u', ?)", list(enumerate([*pages, None, "", "</div><br><br><DIV>a<br>b<BR/>c<div>d<br>e<br>f</DIV>"])))
+    there = dict(twin.execute(f"select book * 10 + doc_index, poetry from {catalog.DUCK_PROBE}").fetchall())
+    assert [there[k] for k in range(len(pages) + 3)] == [got[k].poetry for k in range(len(pages))] + [False, False, True]
+    assert spine.div_breaks("</div><br><br><DIV>a<br>b<BR/>c<div>d<br>e<br>f</DIV>") == 2
     assert spine.div_breaks("<div>a<br>b<br>c") == 1 and spine.div_breaks("</div><br><br>") == 0
 
 
@@ -36,20 +43,6 @@ def test_title_key_of_whole_text(spark, tmp_path):
     assert sorted((r.first_doc, r.n) for r in got) == [(1, 2), (2, 1)]
 
 
-def test_toxicity_trains_on_1500(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: seen.extend(toxic))
-    rows = spark.range(4000).selectExpr("id as doc_id", "'a text' as text", "cast(id % 2 as int) as toxic")
-    toxicity.learn(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
-    assert (sum(seen), len(seen)) == (1500, 3000) and toxicity.BLOCKS == 5000
-
-
-def test_topk_scores_beyond_doubles(spark):
-    rows = [(0, [2.0**35, 2.0**-10]), (1, [1.0, 0.0]), (2, [1.0, 2.0**-10]), (3, [-1.0, 0.0])]
-    got = topk.topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
-    assert [(r.vec_id, r.score) for r in got] == [(2, 2**55 + 1), (1, 2**55), (3, -(2**55))]
-
-
 def test_whole_part_names(spark, tmp_path):
     rows = [(20, "a long name of one"), (40, "a long name of two")]
     spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
