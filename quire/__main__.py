@@ -57,7 +57,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict:
     if args.rule_packs:
         rules.load(args.rule_packs, values["rule_pack_dir"], REGISTRY)
     pages, per_book = pages_of(spark, args.input, args.per_book)
-    out = build.build(pages, per_book)
+    out = build.build(pages, per_book, values=values)
     compose.write(out["books"], f"{args.output}/books")
     lines = out["marked"].where("text <> ''").select("book", (F.col("doc_index") + 1).alias("page"), F.col("block_no").alias("line_no"), "text")
     findings = quality.line_spills(lines).unionByName(quality.image_names(lines)).unionByName(quality.source_apparatus(lines)).unionByName(quality.stranded_headings(lines))

@@ -288,12 +288,13 @@ def markup(caps: bool = True) -> Column:
     return F.concat(F.lit("<"), tag, attrs, F.lit(">"), image, body, F.lit("</"), tag, F.lit(">"))
 
 
-def fragments(blocks: DataFrame, docs: DataFrame) -> DataFrame:
+def fragments(blocks: DataFrame, docs: DataFrame, caps: bool = True) -> DataFrame:
     """Blocks and documents (book, doc_index, kind, current_work) -> (book, seq, html, printable): one section each.
 
-    A document without a block that shows something has no fragment.
+    A document without a block that shows something has no fragment. ``caps`` sets
+    small capitals outside of headings.
     """
-    lit = F.struct("block_no", markup().alias("m"))
+    lit = F.struct("block_no", markup(caps).alias("m"))
     shows = F.bool_or((F.col("text") != "") | (F.col("images") > 0))
     opens = F.min_by(F.exists(F.split("classes", " "), lambda x: x.isin(*DIVIDERS, "frontmatter-opener")), F.when(F.col("text") != "", F.col("block_no")))
     verse_in = F.bool_or(has_class("verse-block"))

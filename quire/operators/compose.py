@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from html import escape
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import clean_text, html_escape
+from quire.plans.settings import DEFAULTS
 
 #: A front-matter fragment, titles of collections in both word orders.
 FRONT = r'<section[^>]+class="[^"]*\bdoc-frontmatter\b'
@@ -25,21 +30,31 @@ def title_page(title: Column) -> Column:
     )
 
 
-def compose(fragments: DataFrame, books: DataFrame, contents: DataFrame) -> DataFrame:
+def compose(fragments: DataFrame, books: DataFrame, contents: DataFrame, settings: Mapping[str, Any] | None = None, back: DataFrame | None = None) -> DataFrame:
     """Fragments (book, seq, html), books (book, title), contents (book, html) -> (book, html).
 
     Front matter goes before the body, each in its order. A book without fragments has
-    an empty body; without contents it has no contents page.
+    an empty body; without contents it has no contents page. Settings add a half title,
+    a subtitle and a source note or leave the title page out; ``back`` (book, html) is
+    a second table of contents after the body.
     """
+    s = {**DEFAULTS, **(settings or {})}
     front = F.rlike("html", F.lit(FRONT))
     join = lambda keep: F.array_join(F.transform(F.filter(F.col("fs"), keep), lambda x: x["html"]), "\n")
     parts = fragments.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("seq", "html", front.alias("front")))).alias("fs"))
     parts = parts.select("book", join(lambda x: x["front"]).alias("front"), join(lambda x: ~x["front"]).alias("body"))
     rows = books.select("book", "title").join(parts, "book", "left").join(contents.select("book", F.col("html").alias("toc")), "book", "left")
-    toc = F.when(F.coalesce(F.col("toc"), F.lit("")) != "", F.concat(F.lit('<section class="frontmatter toc-page"><h1>Contents</h1>'), F.col("toc"), F.lit("</section>\n"))).otherwise(F.lit(""))
+    rows = rows.join(back.select("book", F.col("html").alias("back")), "book", "left") if back is not None else rows.withColumn("back", F.lit(""))
+    page = lambda classes, x, end="": F.when(F.coalesce(x, F.lit("")) != "", F.concat(F.lit(f'<section class="{classes}"><h1>Contents</h1>'), x, F.lit(f"</section>{end}"))).otherwise(F.lit(""))
+    title = html_escape(F.col("title"))
+    nothing = F.lit("")
+    half = F.concat(F.lit('<section class="frontmatter half-title-page"><h1>'), title, F.lit("</h1></section>\n")) if s["include_half_title_page"] else nothing
+    sub = f'<div class="subtitle">{escape(s["title_page_subtitle"])}</div>' if s["title_page_subtitle"].strip() else ""
+    named = F.concat(F.lit('<section class="frontmatter title-page">'), title_page(F.col("title")), F.lit(f"{sub}</section>\n")) if s["include_title_page"] else nothing
+    note = F.lit(f'<section class="frontmatter source-page"><p class="no-indent">{escape(s["source_note_text"])}</p></section>\n' if s["include_source_note"] and s["source_note_text"].strip() else "")
     html = F.concat(
-        F.lit('<!doctype html>\n<html lang="en">\n<head>\n<meta charset="utf-8">\n<title>'), html_escape(F.col("title")), F.lit('</title>\n<link rel="stylesheet" href="style.css">\n</head>\n<body>\n<section class="frontmatter title-page">'),
-        title_page(F.col("title")), F.lit("</section>\n"), toc, F.coalesce("front", F.lit("")), F.lit('\n<main class="main">\n'), F.coalesce("body", F.lit("")), F.lit("\n</main>\n</body>\n</html>"),
+        F.lit('<!doctype html>\n<html lang="en">\n<head>\n<meta charset="utf-8">\n<title>'), title, F.lit('</title>\n<link rel="stylesheet" href="style.css">\n</head>\n<body>\n'), half, named, note,
+        page("frontmatter toc-page", F.col("toc"), "\n"), F.coalesce("front", nothing), F.lit('\n<main class="main">\n'), F.coalesce("body", nothing), F.lit("\n"), page("toc-page back-toc-page", F.col("back"), "\n"), F.lit("</main>\n</body>\n</html>"),
     )
     return rows.select("book", html.alias("html"))
 

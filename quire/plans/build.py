@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import display_title
 from quire.operators import cleaning, compose, headings, openers, spine, toc
 from quire.plans.dag import Plan, Stage
+from quire.plans.settings import DEFAULTS
 from quire.sources import html
 
 
@@ -21,7 +23,8 @@ def _scan(o: dict[str, Any]) -> dict[str, Any]:
 def _clean(o: dict[str, Any]) -> dict[str, Any]:
     kept = o["docs"].where("not remove").select("book", "doc_index", "kind", "major_title")
     raw = o["pages"].select(F.expr(f"page_id div {o['per_book']}").alias("book"), (F.col("page_id") % o["per_book"]).alias("doc_index"), "html")
-    rows, audit = cleaning.clean(html.blocks(raw.join(kept, ["book", "doc_index"], "left_semi")))
+    steps = tuple(x for x in cleaning.BEFORE if o["settings"]["smart_punctuation"] or x is not cleaning.punctuation)
+    rows, audit = cleaning.clean(html.blocks(raw.join(kept, ["book", "doc_index"], "left_semi")), steps)
     return {"blocks": openers.merge_preformatted(rows), "audit": audit}
 
 
@@ -41,17 +44,26 @@ def _fold(o: dict[str, Any]) -> dict[str, Any]:
     section = F.array_contains(F.split("classes", " "), "chapter-section-heading")
     folded = headings.fold(heads.select("book", "doc_index", "block_no", "level", "text", F.nullif("ident", F.lit("")).alias("id"), "kind", "major_title", "division", section.alias("section"), F.lit(False).alias("source_top")))
     rows = cleaning.heading_classes(o["blocks"].withColumn("removed", F.lit(None).cast("string")), folded)
-    rows = cleaning.separators(cleaning.drop_caps(cleaning.descriptions(cleaning.live(rows)))).drop("removed")
+    rows = cleaning.descriptions(cleaning.live(rows))
+    rows = cleaning.separators(cleaning.drop_caps(rows) if o["settings"]["drop_caps"] else rows).drop("removed")
     return {"folded": folded, "marked": rows}
 
 
+def _contents(entries: DataFrame, mode: str) -> DataFrame:
+    simple = mode == "simple"
+    return toc.markup(toc.usable(entries, simple=simple), simple)
+
+
 def _compose(o: dict[str, Any]) -> dict[str, Any]:
+    s = o["settings"]
     docs = spine.carry_forward(o["docs"]).select("book", "doc_index", "kind", F.coalesce(display_title(F.col("major_title")), "current_work").alias("current_work"))
-    fragments = cleaning.fragments(o["marked"], docs)
+    fragments = cleaning.fragments(o["marked"], docs, s["small_caps"])
     entries = o["folded"].where("toc_level is not null").select("book", (F.col("doc_index") * 1_000_000 + F.col("block_no")).alias("seq"), F.col("toc_level").alias("level"), F.col("toc_title").alias("title"), F.col("ident").alias("target_id"), F.col("toc_kind").alias("kind"), F.lit(0).alias("source_level"))
-    contents = toc.markup(toc.usable(entries))
-    books = o["docs"].groupBy("book").agg(F.concat(F.lit("Book "), F.col("book").cast("string")).alias("title"))
-    return {"fragments": fragments, "entries": entries, "books": compose.compose(fragments, books, contents)}
+    named = F.lit(s["title"]) if s["title"].strip() else F.concat(F.lit("Book "), F.col("book").cast("string"))
+    books = o["docs"].groupBy("book").agg(F.first(named).alias("title"))
+    back = s["back_toc_mode"].strip().lower()
+    back = _contents(entries, back) if back in ("simple", "hierarchical") else None
+    return {"fragments": fragments, "entries": entries, "books": compose.compose(fragments, books, _contents(entries, s["toc_mode"]), s, back)}
 
 
 def plan(openers_too: bool = False) -> Plan:
@@ -66,6 +78,12 @@ def plan(openers_too: bool = False) -> Plan:
     return out
 
 
-def build(pages: DataFrame, per_book: int = 10, openers_too: bool = False) -> dict[str, Any]:
-    """All outputs by name: docs, blocks, audit, folded, marked, fragments, entries, books."""
-    return plan(openers_too).run({"pages": pages, "per_book": per_book})
+def build(pages: DataFrame, per_book: int = 10, openers_too: bool = False, values: Mapping[str, Any] | None = None) -> dict[str, Any]:
+    """All outputs by name: docs, blocks, audit, folded, marked, fragments, entries, books.
+
+    Of the settings in ``values`` the plan follows smart_punctuation, drop_caps,
+    small_caps, toc_mode (only "simple" is simple), back_toc_mode, title (else "Book n")
+    and the half title, title page, subtitle and source note; the others shape the
+    stylesheet. Those not given have their defaults.
+    """
+    return plan(openers_too).run({"pages": pages, "per_book": per_book, "settings": {**DEFAULTS, **(values or {})}})

@@ -1,4 +1,4 @@
-from quire.operators import cleaning
+from quire.operators import cleaning, compose
 from quire.plans import build
 from quire.sources import html
 
@@ -55,3 +55,21 @@ def test_build(spark):
     assert 'class="toc-level-1 toc-kind-work"><a href="#work-a">Work A</a>' in book and "Contents</h1><p>x" not in book
     assert '<span class="drop-cap">A</span> quiet' in book, book
     assert book.count("true-blank") == 8, book
+
+
+def test_build_follows_settings(spark):
+    body = "A quiet morning... on the shore, when at 6 A.M. nobody in the village had yet gone out to the boats or the fields."
+    pages = spark.createDataFrame([(k, f"u{k}", f"<h1>Work {'ABCDEFGH'[k]}</h1><p>{body}</p><h2>Chapter {k}</h2><p>{body}</p>") for k in range(3)], "page_id long, url string, html string")
+    book = lambda **values: build.build(pages, values=values)["books"].first().html
+    plain = book()
+    assert "Book 0</h1></section>" in plain and "toc-hierarchical" in plain and "half-title-page" not in plain and "back-toc-page" not in plain and "source-page" not in plain
+    assert "morning…" in plain and '<span class="drop-cap">' in plain and "small-caps" in plain
+    other = book(title="Sea & Land", smart_punctuation=False, drop_caps=False, small_caps=False, toc_mode="simple", back_toc_mode="hierarchical", include_half_title_page=True, title_page_subtitle="a <book>", include_source_note=True, source_note_text="From a scan.")
+    assert "morning..." in other and "drop-cap" not in other and "small-caps" not in other
+    assert '<section class="frontmatter half-title-page"><h1>Sea &amp; Land</h1></section>' in other and '<div class="subtitle">a &lt;book&gt;</div></section>' in other
+    assert '<p class="no-indent">From a scan.</p>' in other
+    first, second = other.index('class="toc-list toc-simple'), other.index('class="toc-list toc-hierarchical')
+    assert first < other.index("<main") < second < other.index("</main>")
+    none = spark.createDataFrame([], "book long, seq long, html string")
+    bare = compose.compose(none, spark.createDataFrame([(0, "T")], "book long, title string"), none, {"include_title_page": False}).first().html
+    assert "title-page" not in bare and "<title>T</title>" in bare and "Contents" not in bare
