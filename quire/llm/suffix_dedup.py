@@ -14,12 +14,15 @@ digest of its own bytes.
 3. Of the other anchors, each different segment is fetched once, and a shard of them
    gets a suffix array by induced sorting. A window is repeated if it shares 200 bytes
    with a neighbour in it (permuted common prefixes), or its segment is there twice.
-4. An anchor with too many segments for one task (a passage in very many documents)
-   is dealt to several shards; windows that are alone in theirs meet those of the
-   other shards by their content's 128-bit hash.
-
-Equality of segments and of windows of split anchors is equality of 128-bit digests
-(XXH3, no algebra to collide by); the rolling hash chooses anchors and decides nothing.
+4. An anchor with too many different segments for one shard (a passage in very many
+   documents) is dealt anew by content. Equal windows have their anchor at the same
+   place, so each segment is cut into a few pieces by that place, and a piece's new
+   anchor is the hash of the bytes that all windows of such a piece share. Pieces are
+   settled as segments are; those whose anchor still has too many are cut again, down
+   to single windows, which are equal where their anchors are.
+
+Equality of segments and of pieces is equality of 128-bit digests (XXH3, no algebra to
+collide by); the rolling hash and the pieces' anchors deal them and decide nothing.
 """
 
 from __future__ import annotations
@@ -32,15 +35,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch, join_groups, partitions, rows_of
+from quire.llm.common import Scratch, join_groups, partitions, rows_of, slices
 from quire.llm.shingles import mix
 from quire.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 LENGTH = 200
 GRAM = 32
-#: Bytes of segments in one suffix array, and segments of one anchor in one shard.
+#: Bytes of segments in one suffix array, and different segments of one anchor in one shard.
 SHARD_BYTES = 4_000_000
-SHARD_SEGMENTS = 4096
+SHARD_SEGMENTS = 512
+#: Into how many pieces a segment with every place of its anchor is cut.
+PIECES = 13
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
 _U = np.uint64
 
@@ -156,7 +161,8 @@ def segments(t: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int
     return (of, first - bounds[of], last - first, h[anchor[first]].view(np.int64), digests(t, first, last - 1 + length)), (doc[p], p - bounds[doc[p]], n)
 
 
-_SEGMENTS = "anchor long, seg long, seg2 long, rid long, start int, n int"
+_KINDS = "anchor long, seg long, seg2 long"
+_SEGMENTS = f"{_KINDS}, rid long, start int, n int"
 
 
 def _texts(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -190,9 +196,39 @@ def _anchors(length: int, gram: int):
     return run
 
 
+def _pieces(length: int, gram: int, width: int):
+    """Parts of segments -> their pieces: windows whose anchor's places differ by less than ``width``."""
+    names = ["anchor", "seg", "seg2", "rid", "base", "start", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for batch in batches for part in slices(batch, "bytes", 500_000)):
+            t, bounds = _texts(b.column("bytes"))
+            at = np.arange(len(t) - gram + 1)
+            h = Rolling(t, _BASE)(at, at + gram) >> _U(24)
+            # the leftmost of the smallest in the first window, as in segments()
+            place = np.array([np.argmin(h[k : k + length - gram + 1]) for k in bounds[:-1].tolist()], np.int64)
+            n = b.column("n").to_numpy().astype(np.int64)
+            high, low = place // width, (place - n + 1) // width
+            many = high - low + 1
+            of = np.repeat(np.arange(len(n)), many)
+            piece = high[of] - (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many))
+            # a window's place in the part is the anchor's there less the anchor's in the window
+            least, most = piece * width, np.minimum((piece + 1) * width - 1, length - gram)
+            first, last = place[of] - np.minimum(place[of], most), place[of] - np.maximum((place - n + 1)[of], least)
+            begin, whole = bounds[of], memoryview(np.ascontiguousarray(t))
+            common = zip((begin + place[of] - least).tolist(), (begin + place[of] - most + length).tolist(), piece.tolist(), strict=True)
+            anchor = np.array([xxhash.xxh3_64_intdigest(whole[x:y], k) for x, y, k in common], _U).view(np.int64)
+            seg = digests(t, begin + first, begin + last + length)
+            rid, base, start = (b.column(c).to_numpy()[of] for c in ("rid", "base", "start"))
+            cols = [anchor, seg[:, 0], seg[:, 1], rid, base, (start + first).astype(np.int32), (last - first + 1).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in cols], names=names)
+
+    return run
+
+
 def _judge(parts: list[tuple], length: int) -> Iterator[tuple]:
-    """Suffix array over some segments -> (rid, start, n) of repeated windows, and hashes of windows of split anchors."""
-    texts = [np.frombuffer(x[4], np.uint8) for x in parts]
+    """Suffix array over some segments -> (rid, start, n) of repeated windows."""
+    texts = [np.frombuffer(x[3], np.uint8) for x in parts]
     sizes = np.array([len(x) for x in texts])
     begin = np.cumsum(sizes + 1) - (sizes + 1)
     t = np.zeros(int((sizes + 1).sum()) + 1, np.int64)
@@ -207,43 +243,62 @@ def _judge(parts: list[tuple], length: int) -> Iterator[tuple]:
     long = prefix >= length
     again = long.copy()
     again[sa[:-1][long[sa[1:]]]] = True
-    for k, (rid, start, n, split, _) in enumerate(parts):
+    for k, (rid, start, n, _) in enumerate(parts):
         mine = again[begin[k] : begin[k] + n]
         edge = np.flatnonzero(np.diff(np.concatenate(([0], mine.view(np.int8), [0]))))
         for a, z in edge.reshape(-1, 2):
-            yield rid, start + int(a), int(z - a), None, None
-        if split:  # a window that is alone here, and of those that are not, the first in the array
-            x = texts[k]
-            at = np.flatnonzero(~mine | ~long[begin[k] : begin[k] + n])
-            for p, (h, g) in zip(at.tolist(), digests(x, at, at + length).tolist(), strict=True):
-                yield (rid, start + p, 1, h, g) if not mine[p] else (None, None, 2, h, g)
+            yield rid, start + int(a), int(z - a)
 
 
 def _shards(length: int):
-    names = ["rid", "start", "n", "h", "g"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    names = ["rid", "start", "n"]
+    kinds = [pa.int64(), pa.int32(), pa.int32()]
 
     def out(parts):
         rows = list(_judge(parts, length))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size, key = [], 0, None
         for b in batches:
-            for anchor, salt, *rest in zip(*(b.column(c).to_pylist() for c in ("anchor", "salt", "rid", "start", "n", "split", "bytes")), strict=True):
-                if (anchor, salt) != key and size >= SHARD_BYTES:
+            for anchor, *rest in zip(*(b.column(c).to_pylist() for c in ("anchor", "rid", "start", "n", "bytes")), strict=True):
+                if anchor != key and size >= SHARD_BYTES:
                     yield out(parts)
                     parts, size = [], 0
-                key = (anchor, salt)
+                key = anchor
                 parts.append(tuple(rest))
-                size += len(rest[4])
+                size += len(rest[3])
         if parts:
             yield out(parts)
 
     return run
 
 
+_PLACE, _KEY = ["rid", "start", "n"], ["anchor", "seg", "seg2"]
+
+
+def _settle(keep: Scratch, segments: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """What equal segments settle: one row of each kind of segment that may share windows with others, and (rid, start, n) of those repeated whole."""
+    info = segments.groupBy("anchor").agg(F.count("*").alias("c"), *(f(x).alias(f"{f.__name__}_{x}") for x in ("seg", "seg2") for f in (F.min, F.max))).where("c > 1")
+    info = keep(info.select("anchor", "c", F.expr("min_seg = max_seg and min_seg2 = max_seg2").alias("alike")), "anchors")
+    shared = keep(join_groups(segments, info, ["anchor"], "c"), "shared-segments")
+    keep.drop(info)
+    mixed = shared.where("not alike")
+    # of equal segments any one will do; the table settles which
+    one = [F.first(x).alias(x) for x in segments.columns if x not in _KEY]
+    kinds = keep(mixed.groupBy(*_KEY).agg(F.count("*").alias("m"), *one, F.max("c").alias("c")), "kinds")
+    twice = join_groups(mixed.select(*_KEY, *_PLACE), kinds.where("m > 1").select(*_KEY, "m"), _KEY, "m")
+    return kinds, [shared.where("alike").select(*_PLACE), twice.select(*_PLACE)]
+
+
+def _mark(keep: Scratch, kinds: DataFrame, many: DataFrame) -> tuple[DataFrame, bool]:
+    """Kinds marked as crowded where their anchor is one of ``many``, and whether there is any; anchors of many kinds are few, so they are sent to all tasks."""
+    many = keep(many.select("anchor", F.lit(True).alias("crowded")), "crowded")
+    marked = kinds.join(F.broadcast(many), "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    return marked, not many.isEmpty()
+
+
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
     """Documents (doc_id, text) -> (rid, start, n): runs of byte positions at which a repeated string of ``length`` starts."""
     return _repeated(rows_of(docs, "text"), length, gram, shard_segments)
@@ -252,32 +307,49 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_segm
 def _repeated(rows: DataFrame, length: int, gram: int, shard_segments: int) -> DataFrame:
     n_parts, keep = partitions(rows.sparkSession), Scratch()
     everything = keep(rows.select("rid", "text").mapInArrow(_anchors(length, gram), _SEGMENTS), "segments")
-    place, key = ["rid", "start", "n"], ["anchor", "seg", "seg2"]
-    sure = keep(everything.where("anchor is null").select(*place), "periodic")
-    anchored = everything.where("anchor is not null")
-    info = anchored.groupBy("anchor").agg(F.count("*").alias("c"), *(f(x).alias(f"{f.__name__}_{x}") for x in ("seg", "seg2") for f in (F.min, F.max))).where("c > 1")
-    info = keep(info.select("anchor", "c", F.expr("min_seg = max_seg and min_seg2 = max_seg2").alias("alike")), "anchors")
-    shared = keep(join_groups(anchored, info, ["anchor"], "c"), "shared-segments")
-    keep.drop(everything, info)
-    mixed = shared.where("not alike")
-    # of equal segments any one will do; the table settles which
-    kinds = keep(mixed.groupBy(*key).agg(F.count("*").alias("m"), F.first("rid").alias("rid"), F.first("start").alias("start"), F.first("n").alias("n"), F.max("c").alias("c")), "kinds")
-    twice = join_groups(mixed.select(*key, *place), kinds.where("m > 1").select(*key, "m"), key, "m")
-    salts = F.ceil(F.col("c") / F.lit(shard_segments))
-    wanted = kinds.select("rid", F.struct("anchor", F.pmod("seg", salts).cast("int").alias("salt"), "start", "n", (salts > 1).alias("split")).alias("w"))
-    wanted = wanted.groupBy("rid").agg(F.collect_list("w").alias("w"))  # at most the segments of one document
+    sure = keep(everything.where("anchor is null").select(*_PLACE), "periodic")
+    kinds, found = _settle(keep, everything.where("anchor is not null"))
+    keep.drop(everything)
+    many = kinds.where(F.col("c") > shard_segments).groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > shard_segments)
+    kinds, some = _mark(keep, kinds, many)
+    wanted = kinds.groupBy("rid").agg(F.collect_list(F.struct("anchor", "start", "n", "crowded")).alias("w"))  # at most the segments of one document
     cut = rows.select("rid", F.col("text").cast("binary").alias("text")).join(wanted, "rid").select("rid", F.explode(F.transform("w", lambda w: F.struct(w.alias("w"), F.substring("text", w["start"] + 1, w["n"] + length - 1).alias("bytes")))).alias("x"))
-    cut = cut.select("x.w.anchor", "x.w.salt", "rid", "x.w.start", "x.w.n", "x.w.split", "x.bytes")
-    dealt = cut.repartition(n_parts, "anchor", "salt").sortWithinPartitions("anchor", "salt")
-    judged = keep(dealt.mapInArrow(_shards(length), "rid long, start int, n int, h long, g long"), "judged")
-    # windows of split anchors that are alone in their shard, and elsewhere again; a shard has each at most once
-    open_windows = judged.where("h is not null")
-    met = open_windows.groupBy("h", "g").agg(F.sum("n").alias("m")).where("m > 1").select("h", "g")
-    late = open_windows.where("rid is not null").join(met, ["h", "g"])
-    found = sure
-    for part in (shared.where("alike"), twice, judged.where("h is null"), late):
-        found = found.unionByName(part.select(*place))
-    return keep.finish(found, "repeated")
+    parts = cut.select("x.w.anchor", "x.w.crowded", "rid", "x.w.start", "x.w.n", "x.bytes")
+    if some:
+        cut = keep(parts, "cut")
+        parts, again = _deal_anew(keep, cut.where("crowded").select("rid", F.col("start").alias("base"), "n", "bytes"), length, gram, shard_segments)
+        parts, found = cut.where("not crowded").drop("crowded").unionByName(parts), [*found, *again]
+    judged = keep(parts.repartition(n_parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_shards(length), "rid long, start int, n int"), "judged")
+    out = sure
+    for part in (*found, judged):
+        out = out.unionByName(part)
+    return keep.finish(out, "repeated")
+
+
+def _deal_anew(keep: Scratch, cut: DataFrame, length: int, gram: int, most: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Segments of crowded anchors (rid, base, n, bytes) -> pieces to judge, of anchors with at most ``most``, and what is settled before."""
+    width, found, few = length - gram + 1, [], []
+    left = cut.withColumn("start", F.col("base"))
+
+    def with_bytes(pieces: DataFrame) -> DataFrame:
+        bytes_ = F.substring("bytes", F.col("start") - F.col("base") + 1, F.col("n") + length - 1)
+        return cut.drop("n").join(pieces, ["rid", "base"]).select("anchor", "rid", "base", "start", "n", bytes_.alias("bytes"))
+
+    some = True
+    while some and width > 1:
+        width = -(-width // PIECES)
+        pieces = keep(left.select("rid", "base", "start", "n", "bytes").mapInArrow(_pieces(length, gram, width), f"{_KINDS}, rid long, base int, start int, n int"), "pieces")
+        # equal pieces are counted before they meet by anchor: those of a passage are very many
+        kinds = keep(pieces.groupBy(*_KEY).agg(F.count("*").alias("m"), *(F.first(x).alias(x) for x in ("rid", "base", "start", "n"))), "kinds")
+        found.append(join_groups(pieces.select(*_KEY, *_PLACE), kinds.where("m > 1").select(*_KEY, "m"), _KEY, "m").select(*_PLACE))
+        anchors = keep(kinds.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1"), "anchors")
+        kinds, some = _mark(keep, kinds, anchors.where(F.col("k") > most))
+        few.append((kinds if width == 1 else kinds.where("not crowded")).join(anchors.select("anchor"), "anchor"))
+        left = with_bytes(kinds.where("crowded"))
+    pieces = few[0]
+    for x in few[1:]:
+        pieces = pieces.unionByName(x)
+    return with_bytes(pieces).drop("base"), found
 
 
 def _intervals(runs: pa.ListArray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

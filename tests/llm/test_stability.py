@@ -170,6 +170,34 @@ def test_repeats_of_hostile_texts(spark):
     assert {r.doc_id: r.kept_sha256 for r in got} == dict(enumerate(want))
 
 
+@pytest.mark.parametrize("near", [False, True])
+def test_a_passage_in_very_many_documents_makes_few_rows(spark, monkeypatch, near):
+    """More segments of one anchor than a shard takes: the right bytes, from rows in proportion to the segments, not to their windows."""
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefghijklm ") for _ in range(n))
+    passage, made = noise(260), Counter()
+    texts = [noise(rng.randint(120, 200)) + passage + noise(rng.randint(120, 200)) for _ in range(300)]
+    if near:  # a long passage with some letters changed
+        passage = list(noise(700))
+        for k in range(300):
+            t = passage.copy()
+            for _ in range(3):
+                t[rng.randrange(len(t))] = rng.choice("XYZ")
+            texts[k] = "".join(t)
+
+    class Counted(suffix_dedup.Scratch):
+        def __call__(self, df, label):
+            out = super().__call__(df, label)
+            made[label] += out.count()
+            return out
+
+    monkeypatch.setattr(suffix_dedup, "Scratch", Counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: hashlib.sha256(r.kept).hexdigest() for r in suffix_dedup.remove(docs, shard_segments=16).collect()}
+    assert got == dict(enumerate(brute([t.encode() for t in texts])))
+    assert max(made[x] for x in ("pieces", "judged", "cut")) < 12 * made["segments"], made
+
+
 def test_megabytes_of_blanks(spark):
     rows = [(1, " " * 20_000_000), (2, "x" * 300 + " " * 200), (3, "y" * 150)]
     got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
