@@ -222,3 +222,15 @@ def test_components_of_a_star(spark):
     links = [(i, 500) for i in range(500)] + [(700 + i, 700 + i + 1) for i in range(30)] + [(730, 0)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert set(got.values()) == {0} and len(got) == 501 + 31
+
+
+def test_driver_lets_go_of_finished_jobs(spark, monkeypatch):
+    """What nothing names any more goes as tables are written, not when the driver's heap is full."""
+    monkeypatch.setattr(common, "TASKS", 8, raising=False)
+    done = spark.range(9)
+    weak = spark._jvm.java.lang.ref.WeakReference(done._jdf)
+    assert weak.get() is not None
+    del done
+    for _ in range(4):
+        common.discard(common.materialise(spark.range(9), "held"))
+    assert weak.get() is None
